@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +24,7 @@ from ._stage import Stage
 
 SEQUENCE, END_ID, OPEN_WINDOWS = 2048, 1, 16
 #: Encoded parts of texts that a worker remembers; beyond it the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Partitions whose last, partly filled windows are merged together in one task.
 MERGED_PARTITIONS = 1024
 #: UTF-8 lead bytes of code points from U+0240 on; texts with one of these go to the library whole.
@@ -39,34 +41,55 @@ def _split_pattern() -> re.Pattern:
     return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
+def _byte_symbols() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable Latin-1 for itself, the rest from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, by a tokenizer file of ``tokenizers``."""
+    """Token ids of texts as little-endian 32-bit bytes, by a byte-level BPE file of ``tokenizers``.
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    The file's own splitting of a text is done here, and each different part is encoded once, by the
+    file's vocabulary, in which lower ids merge first. Texts beyond the splitter's characters go to
+    the library whole.
+    """
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self, path: str):
+        import tiktoken
+
+        self.path, self.library = path, None
+        symbols = _byte_symbols()
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        special = {t["content"] for t in file.get("added_tokens", ())}
+        ranks = {bytes(symbols[c] for c in piece): i for piece, i in file["model"]["vocab"].items() if piece not in special}
+        self.part = tiktoken.Encoding("file", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.split = _split_pattern().findall
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+            self.library.encode_special_tokens = True
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, raw: bytes) -> bytes:
         text = raw.decode("utf-8", "replace")
         if not text.isascii() and max(raw) >= FAR_LEAD:
             return self.whole(text)
-        parts = self.split(text)
+        parts, known = self.split(text), self.known
         try:
-            return b"".join(map(self.known.__getitem__, parts))
+            return b"".join(map(known.__getitem__, parts))
         except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set(parts).difference(self.known))
-            for part, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[part] = np.array(code.ids, "<u4").tobytes()
-            return b"".join(map(self.known.__getitem__, parts))
+            if len(known) > REMEMBERED:
+                known.clear()
+            for part in set(parts).difference(known):
+                known[part] = array("I", self.part(part)).tobytes()
+            return b"".join(map(known.__getitem__, parts))
 
 
 @dataclass
