@@ -114,6 +114,14 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return mix((total[width:] - total[:n]) * down[:n])
 
 
+def range_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the hashes from each ``begin`` up to its ``end``."""
+    up, down = _word_powers.to(len(hashes) + 1)
+    total = np.zeros(len(hashes) + 1, U64)
+    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
+
+
 def owners(first: np.ndarray) -> np.ndarray:
     """The text of each word, from the first word of each text."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))

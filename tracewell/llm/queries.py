@@ -20,6 +20,19 @@ def held_out(modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substring_dedup
+
+    out = substring_dedup.remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.link(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -53,5 +66,26 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan)}
+WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
+
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {WORDS_SQL} AS ws FROM documents),
+        windows AS (SELECT r, i, array_to_string(ws[i:i + 34], ' ') AS s FROM docs, unnest(range(1, len(ws) - 33)) AS t(i)),
+        repeated AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+        gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM windows JOIN repeated USING (s)),
+        word AS (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM docs),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)""",
+    "op3_jaccard_join": f"""
+        WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+        grams AS (SELECT doc_id, CASE WHEN coalesce(len(ws), 0) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM words),
+        flat AS MATERIALIZED (SELECT doc_id, unnest(g) AS s, len(g) AS n FROM grams),
+        links AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        reach AS (SELECT doc_id, doc_id AS r FROM grams UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
+        SELECT g.doc_id, len(g)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id FROM grams g JOIN reach USING (doc_id) GROUP BY g.doc_id, g""",
+}
