@@ -66,7 +66,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("secrets")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import line_dedup
+
+    out = line_dedup.remove_repeated_chunks(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan, op10_line_dedup)}
 WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES: dict[str, str] = {
@@ -88,4 +95,16 @@ ORACLES: dict[str, str] = {
             GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
         reach AS (SELECT doc_id, doc_id AS r FROM grams UNION SELECT reach.doc_id, y FROM reach JOIN links ON x = r)
         SELECT g.doc_id, len(g)::BIGINT AS n_shingles, min(r)::BIGINT AS component_id FROM grams g JOIN reach USING (doc_id) GROUP BY g.doc_id, g""",
+    "op10_line_dedup": r"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+        hashed AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM docs),
+        ends AS (SELECT *, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR (coalesce(h[i - 1], 0) * 31 * (i > 1)::INT + h[i]) % 4 = 0) AS e FROM hashed),
+        parts AS (SELECT r, doc_id, k, array_to_string(ls[coalesce(e[k - 1] * (k > 1)::INT, 0) + 1:e[k]], chr(10)) AS body,
+            e[k] - coalesce(e[k - 1] * (k > 1)::INT, 0) AS n,
+            len(list_filter(ls[coalesce(e[k - 1] * (k > 1)::INT, 0) + 1:e[k]], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS worded
+            FROM ends, unnest(range(1, len(e) + 1)) AS t(k)),
+        marked AS (SELECT *, worded >= 2 AND row_number() OVER (PARTITION BY body, worded >= 2 ORDER BY doc_id, k) > 1 AS gone FROM parts),
+        kept AS (SELECT r, string_agg(body, chr(10) ORDER BY k) FILTER (NOT gone) AS t, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS g FROM marked GROUP BY r)
+        SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_lines_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM docs LEFT JOIN kept USING (r)""",
 }
