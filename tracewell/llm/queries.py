@@ -33,6 +33,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring
+
+    return lm_scoring.score(documents(spark, sf_dir).select("doc_id", "text"), ~held_out(7), tokenizer_path(PIECES))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -73,7 +79,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan, op10_line_dedup)}
 WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES: dict[str, str] = {
