@@ -55,6 +55,21 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "held_out", "text"), model).select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pieces
+
+    path = tokenizer_path(PIECES)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    both = pieces.decode(pieces.encode(docs, path), path)
+    return both.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join("piece_ids", ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -79,7 +94,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op8_packing, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op7_pieces, op8_packing, op9_secret_scan, op10_line_dedup)}
 WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES: dict[str, str] = {
