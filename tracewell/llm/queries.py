@@ -20,6 +20,12 @@ def held_out(modulus: int):
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == 2, F.lit(False))
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import nearest
+
+    return nearest.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import substring_dedup
 
@@ -94,7 +100,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op7_pieces, op8_packing, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op7_pieces, op8_packing, op9_secret_scan, op10_line_dedup)}
 WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES: dict[str, str] = {
