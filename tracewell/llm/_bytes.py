@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts are taken in blocks of about so many bytes (one text at least), which bounds the arrays.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 
 U64 = np.uint64
 SPACE = np.zeros(256, bool)
@@ -59,7 +59,7 @@ def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins (one entry more). Null is empty."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    texts = (pc.fill_null(texts, "") if texts.null_count else texts).cast(pa.large_string())
     _, offsets, data = texts.buffers()
     off = np.frombuffer(offsets, np.int64, len(texts) + 1, texts.offset * 8) if offsets else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
@@ -75,6 +75,8 @@ def blocks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             last = max(first + 1, int(np.searchsorted(off, off[first] + limit, "right")) - 1)
             yield batch.slice(first, last - first), data[off[first] : off[last]], off[first : last + 1] - off[first]
             first = last
+        del batch, data
+        pa.default_memory_pool().release_unused()
 
 
 def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -19,6 +19,18 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Rows and bytes of the Arrow batches between the JVM and Python, which bound what either holds.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's limits for Arrow batches to those above; texts may be long."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key)
+        if not (now.isdecimal() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
 class Stage:
     """A private folder of Parquet tables below the shared one.
 
@@ -27,6 +39,7 @@ class Stage:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import LOWER, blocks
+from ._stage import small_batches
 
 #: Hash buckets of n-grams, and their lengths in characters.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
@@ -96,6 +97,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
     a bound set from the language's row count. The sample, and so what comes back to the driver, is
     bounded by that and the number of languages.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(doc_id).alias("i"), F.col(lang).cast("string").alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
@@ -136,6 +138,7 @@ def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFram
     is ``und`` with score 0, as is every text under a model that has learned no language. Columns
     that have those two names already are replaced.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name not in ("lang_pred", "lang_score")]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import blocks
+from ._stage import small_batches
 
 #: Bytes of text whose words are sorted together, and encoded words that a worker remembers.
 SORTED_BYTES, REMEMBERED = 4 << 20, 200_000
@@ -92,6 +93,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     A null or empty text has no ids; any other has those of the text with a word mark before it, so
     that decoding gives back every text, whatever its characters. A column ``piece_ids`` is replaced.
     """
+    small_batches(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != "piece_ids"]
 
     def run(batches):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import U64, blocks, mix, owners, span_hashes, whole_windows, window_hashes, words
+from ._stage import small_batches
 
 #: Buckets of each of the kinds of features: words, pairs of words, runs of three bytes.
 BUCKETS = 1 << 11
@@ -82,6 +83,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc
     an id count as often as they stand there. A fifth of the sample, chosen by a hash, only serves
     to calibrate, weighted so that the classes have their shares of all labelled rows. Without rows of both classes there is no model (None).
     """
+    small_batches(df.sparkSession)
     marks = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where("i is not null and y in (0, 1)")
     counts = {r["y"]: r["n"] for r in marks.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
@@ -170,6 +172,7 @@ def score(df: DataFrame, model: QualityModel | None, text: str = "text") -> Data
     A null text counts as empty: no words, hence ``base_failed``. Without a model the score is null
     and only the base decides. Columns that have one of those names already are replaced.
     """
+    small_batches(df.sparkSession)
     added = [*((f, T.LongType()) for f in FIELDS), ("quality_score", T.DoubleType()), ("base_failed", T.BooleanType()), ("kept", T.BooleanType())]
     kept = [f for f in df.schema.fields if f.name not in dict(added)]
     schema = T.StructType([*kept, *(T.StructField(*a) for a in added)])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._bytes import blocks
-from ._stage import Stage
+from ._stage import Stage, small_batches
 
 # The base patterns, their least lengths and their order.
 ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE)
@@ -202,6 +202,7 @@ def scan(df: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
     candidates that a base pattern does not touch and an automaton accepts. A null or empty text has
     none. A column named ``secrets`` is replaced.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     kept = [f for f in df.schema.fields if f.name != "secrets"]
     kind_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
