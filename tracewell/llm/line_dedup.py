@@ -69,7 +69,7 @@ def remove_repeated_chunks(df: DataFrame, text: str = "text", doc_id: str = "doc
 
     # the bytes of all places of a hash: alike if the smallest are the largest
     wanted = places.groupBy("k1", "k2").agg(F.collect_set("idx").alias("idxs"))
-    bodies = base.join(wanted, ["k1", "k2"]).select(F.explode(F.filter(chunks(F.col("t")), lambda c: F.array_contains("idxs", c["idx"]))).alias("c"))
+    bodies = base.join(wanted.hint("merge"), ["k1", "k2"]).select(F.explode(F.filter(chunks(F.col("t")), lambda c: F.array_contains("idxs", c["idx"]))).alias("c"))
     bodies = bodies.select(F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("d"), F.col("c.body").alias("body"))
     alike = stage.put(bodies.groupBy("d").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x = y").select("d"), "alike")
     gone = places.where("again").join(alike, "d").groupBy("k1", "k2").agg(F.collect_set("idx").alias("gone"))
@@ -78,7 +78,7 @@ def remove_repeated_chunks(df: DataFrame, text: str = "text", doc_id: str = "doc
 
     names = [c for c in df.columns if c not in ("n_lines", "n_lines_removed")]
     keyed = df.select(*_keys(df, text, doc_id), F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row"), F.col(text).cast("string").alias("t"))
-    joined = keyed.join(gone, ["k1", "k2"], "left")
+    joined = keyed.join(gone.hint("merge"), ["k1", "k2"], "left")
     lines = F.coalesce(F.size(F.split("t", "\n", -1)), F.lit(0)).cast("long")
     lines = F.when(F.col("t").isNull(), F.lit(0).cast("long")).otherwise(lines)
 
