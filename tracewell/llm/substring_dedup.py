@@ -169,7 +169,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             local = (begin[keep] - first[np.searchsorted(first, begin[keep], "right") - 1]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(of), batch.column("k2").take(of), pa.array(signed(anchor[keep])), pa.array(signed(whole[keep])), pa.array(local), pa.ListArray.from_arrays(offsets, pa.array(chosen))], ["k1", "k2", "anchor", "whole", "start", "windows"])
 
-    rows = texts.join(found, ["k1", "k2"]).mapInArrow(stretches, _STRETCH)
+    rows = texts.join(found.hint("merge"), ["k1", "k2"]).mapInArrow(stretches, _STRETCH)
     rows = stage.put(rows, "stretches")
     kinds = stage.put(rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "kinds")
     # a window of a stretch that occurs once is repeated if another stretch of the anchor has it
@@ -192,7 +192,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     kept = [f for f in df.schema.fields if f.name not in dict(added) and f.name != text]
     i, t = F.col(doc_id).cast("string"), F.col(text).cast("string")
     keyed = df.select(F.xxhash64(i, t).alias("k1"), F.xxhash64(F.lit("row"), t, i).alias("k2"), F.struct(*[F.col(f"`{f.name}`") for f in kept]).alias("row"), t.alias("t"))
-    joined = keyed.join(starts, ["k1", "k2"], "left").select("row", "t", "repeats")
+    joined = keyed.join(starts.hint("merge"), ["k1", "k2"], "left").select("row", "t", "repeats")
 
     def cut(batches_):
         for batch, data, off in blocks(batches_, "t"):
