@@ -192,6 +192,12 @@ def fit(df: DataFrame, text: str = "text", fit_values: int = FIT_VALUES) -> Secr
     return learn(credentials)
 
 
+def spans_of(text: bytes, model: SecretModel) -> list[tuple[int, int, int]]:
+    """(first byte, kind, past-the-end byte) of the base matches and the accepted candidates of a text."""
+    base = base_spans(text)
+    return sorted([(x, k, y) for x, k, y, _ in base] + [(x, 3, y) for x, y in candidates(text, base) if model.accepts(text[x:y])])
+
+
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -212,9 +218,7 @@ def scan(df: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
             raw, rows = data.tobytes(), []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 one = raw[a:b]
-                base = base_spans(one)
-                spans = [(x, k, y) for x, k, y, _ in base] + [(x, 3, y) for x, y in candidates(one, base) if shared.value.accepts(one[x:y])]
-                spans = sorted(spans)
+                spans = spans_of(one, shared.value)
                 if spans and not one.isascii():
                     point = np.concatenate(([0], np.cumsum((np.frombuffer(one, np.uint8) & 0xC0) != 0x80)))
                     spans = [(int(point[x]), k, int(point[y])) for x, k, y in spans]
@@ -228,25 +232,27 @@ MASK = "[SECRET]"
 
 
 def mask(df: DataFrame, model: SecretModel, text: str = "text") -> DataFrame:
-    """``df`` with each span of ``scan`` replaced by ``MASK``; spans that overlap become one mask."""
+    """``df`` with each span of ``scan`` replaced by ``MASK``; spans that overlap become one mask.
+
+    Null and empty texts stay as they are, and so do all other columns, one named ``secrets`` too.
+    """
+    small_batches(df.sparkSession)
     schema = df.schema
+    shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
-            texts, spans = batch.column(text).to_pylist(), batch.column("secrets").to_pylist()
-            out = []
-            for one, found in zip(texts, spans):
-                if found:
-                    parts, at = [], 0
-                    for a, b in _joined([(s["start"], s["end"]) for s in found]):
-                        parts += [one[at:a], MASK]
-                        at = b
-                    one = "".join([*parts, one[at:]])
-                out.append(one)
-            columns = [pa.array(out, pa.string()) if n == text else batch.column(n) for n in schema.names]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
-
-    return scan(df, model, text).mapInArrow(run, schema)
+        for batch, data, off in blocks(batches, text):
+            raw, out = data.tobytes(), []
+            for valid, a, b in zip(batch.column(text).is_valid().to_pylist(), off[:-1].tolist(), off[1:].tolist()):
+                one, parts, at = raw[a:b], [], 0
+                for x, y in _joined([(x, y) for x, _, y in spans_of(one, shared.value)]):
+                    parts += [one[at:x], MASK.encode()]
+                    at = y
+                out.append(b"".join([*parts, one[at:]]) if valid else None)
+            masked = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([masked if n == text else batch.column(n) for n in schema.names], schema.names)
+
+    return df.mapInArrow(run, schema)
 
 
 def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
