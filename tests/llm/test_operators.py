@@ -71,6 +71,27 @@ def test_jaccard_join_scans_open_lists(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute.components(rows)
 
 
+def test_jaccard_join_counts_links_within_components(spark, monkeypatch):
+    # near copies of one text: all are one component, yet not each pair links; several blocks
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", 16)
+    rng, rows = random.Random(4), []
+    for k in range(90):
+        copy = [f"t{j}" for j in range(80)]
+        for at in rng.sample(range(80), k % 3):
+            copy[at] = f"r{rng.randrange(50)}"
+        rows.append((k, " ".join(copy)))
+    rows += [(90, None), (91, "one two"), (92, "One two"), (93, "far from all of the others here")]
+    shingles = {i: {tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in rows}
+    links = {i: sum(i != j and bool(a & b) and 100 * len(a & b) >= 75 * len(a | b) for j, b in shingles.items()) for i, a in shingles.items()}
+    assert max(links.values()) > 60 and min(links[k] for k in range(90)) < 80 and links[91] == 1
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r for r in jaccard_join.count_links(df).collect()}
+    assert {i: r["n_links"] for i, r in found.items()} == links
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in found.items()} == brute.components(rows)
+    ids = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (2, "a b c d e f"), (None, "x y"), (3, None)], "doc_id long, text string")
+    assert sorted((r["n_shingles"], r["doc_id"] or 0, r["n_links"]) for r in jaccard_join.count_links(ids).collect()) == [(0, 3, 0), (1, 0, 0), (2, 0, 2), (2, 2, 1), (2, 2, 1)]
+
+
 def test_substring_dedup(docs, pairs):
     found = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs.withColumn("n_words", F.lit("clash"))).collect()}
     assert found == dict(zip([i for i, _ in pairs], brute.repeats_removed([t for _, t in pairs])))

@@ -39,6 +39,12 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op3_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.count_links(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring
 
@@ -100,7 +106,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_lines_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest, op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op7_pieces, op8_packing, op9_secret_scan, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_nearest, op2_substring_dedup, op3_jaccard_join, op4_lm_scoring, op5_quality_rules, op6_language_id, op7_pieces, op8_packing, op9_secret_scan, op10_line_dedup, op3_jaccard_links)}
 WORDS_SQL = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 ORACLES: dict[str, str] = {
@@ -135,3 +141,13 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(g, 0)::BIGINT AS n_lines_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM docs LEFT JOIN kept USING (r)""",
 }
+
+_LINKS_SQL = f"""
+    WITH words AS (SELECT doc_id, {WORDS_SQL.replace('text,', "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),")} AS ws FROM documents),
+    grams AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS g FROM words),
+    flat AS (SELECT doc_id, unnest(g) AS s, len(g) AS n FROM grams),
+    links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id <> b.doc_id
+        GROUP BY x, y, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*)))
+    SELECT grams.doc_id, count(y)::BIGINT AS n_links FROM grams LEFT JOIN links ON x = grams.doc_id GROUP BY grams.doc_id"""
+ORACLES["op3_jaccard_links"] = f"SELECT doc_id, n_shingles, component_id, n_links FROM ({ORACLES['op3_jaccard_join']}) JOIN ({_LINKS_SQL}) USING (doc_id)"
