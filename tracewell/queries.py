@@ -309,17 +309,45 @@ def _keyword_hits(spark, sf_dir) -> DataFrame:
     return picked.unionByName(gone).withColumn("keyword", F.lit("KW"))
 
 
-@query(f"SELECT 'KW' AS keyword, language, relpath AS file, lineno, 'direct' AS ref_kind, category, category || ' (' || language || ')' AS usage_summary, 'KW@' || relpath || ':' || lineno AS chain, confidence FROM ({_ROUTED_SQL}) JOIN ({_CODE_SQL}) USING (relpath, lineno) WHERE {_PICK_SQL}")
-def direct_hits(spark, sf_dir):
+def _every_hit(spark, sf_dir) -> DataFrame:
+    """All code lines, and one hit in a missing file beside each file."""
+    lines = code(spark, sf_dir).select("relpath", "lineno", F.col("line").alias("content"))
+    gone = lines.select(F.concat(F.lit("gone/"), "relpath").alias("relpath")).distinct().select("relpath", F.lit(1).alias("lineno"), F.lit("").alias("content"))
+    return lines.unionByName(gone).withColumn("keyword", F.lit("KW"))
+
+
+def _direct(spark, sf_dir, hits: DataFrame) -> DataFrame:
     files = code(spark, sf_dir).select("relpath", "language").distinct()
-    hits = _keyword_hits(spark, sf_dir).join(files, "relpath").withColumn("c", L.classify_line(F.col("language"), F.lit("bourne"), F.col("content")))
+    hits = hits.join(files, "relpath").withColumn("c", L.classify_line(F.col("language"), F.lit("bourne"), F.col("content")))
     return hits.select("keyword", "language", F.col("relpath").alias("file"), "lineno", F.lit("direct").alias("ref_kind"), "c.category", X.usage_summary(F.col("c.category"), F.col("language")).alias("usage_summary"), X.hop(F.col("keyword"), F.col("relpath"), F.col("lineno")).alias("chain"), "c.confidence")
 
 
+def _missing(spark, sf_dir, hits: DataFrame) -> DataFrame:
+    files = code(spark, sf_dir).select("relpath").distinct()
+    return hits.join(files, "relpath", "left_anti").select("relpath").distinct()
+
+
+@query(f"SELECT 'KW' AS keyword, language, relpath AS file, lineno, 'direct' AS ref_kind, category, category || ' (' || language || ')' AS usage_summary, 'KW@' || relpath || ':' || lineno AS chain, confidence FROM ({_ROUTED_SQL}) JOIN ({_CODE_SQL}) USING (relpath, lineno) WHERE {_PICK_SQL}")
+def direct_hits(spark, sf_dir):
+    return _direct(spark, sf_dir, _keyword_hits(spark, sf_dir))
+
+
 @query(f"SELECT DISTINCT 'gone/' || relpath AS relpath FROM ({_CODE_SQL}) WHERE lineno = 3")
 def missing_source(spark, sf_dir):
-    files = code(spark, sf_dir).select("relpath").distinct()
-    return _keyword_hits(spark, sf_dir).join(files, "relpath", "left_anti").select("relpath").distinct()
+    return _missing(spark, sf_dir, _keyword_hits(spark, sf_dir))
+
+
+# direct_hits and missing_source take every third line; these take all of them
+
+
+@query(f"SELECT 'KW' AS keyword, language, relpath AS file, lineno, 'direct' AS ref_kind, category, category || ' (' || language || ')' AS usage_summary, 'KW@' || relpath || ':' || lineno AS chain, confidence FROM ({_ROUTED_SQL}) JOIN ({_CODE_SQL}) USING (relpath, lineno)")
+def direct_hits_all(spark, sf_dir):
+    return _direct(spark, sf_dir, _every_hit(spark, sf_dir))
+
+
+@query(f"SELECT DISTINCT 'gone/' || relpath AS relpath FROM ({_CODE_SQL})")
+def missing_source_all(spark, sf_dir):
+    return _missing(spark, sf_dir, _every_hit(spark, sf_dir))
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
