@@ -202,6 +202,15 @@ def test_language_id(spark, docs):
     assert all(x == "und" for x in [r["lang_pred"] for r in language_id.predict(docs, language_id.fit(rows.where("false"))).collect()])
 
 
+def test_language_id_lets_all_evidence_choose():
+    # each n-gram speaks a little for the rare language, and the text is long
+    weights = np.repeat(np.array([[-9.1, -9.0]], np.float32), language_id.BUCKETS, 0)
+    model = language_id.LanguageModel(["common", "rare"], weights, np.array([0.0, -20.0]))
+    data = np.frombuffer(b"ab " * 400, np.uint8)
+    names, scores = model.predict(data, np.array([0, 30, len(data)]))
+    assert names == ["common", "rare"] and scores[0] > 0.9 and scores[1] < 0.1
+
+
 def test_pieces(docs, pairs):
     path = tokenizer_path(PIECES)
     vocabulary = pieces.Vocabulary(path)

@@ -73,11 +73,11 @@ class LanguageModel:
         letters = self._letters(data, off)
         if not self.languages:
             return [UNKNOWN] * len(letters), np.zeros(len(letters))
+        best = (scores + self.prior).argmax(1)
         scores = scores * np.minimum(1, EVIDENCE / np.maximum(seen, 1))[:, None] + self.prior
         scores = np.exp(scores - scores.max(1, keepdims=True))
         scores /= scores.sum(1, keepdims=True)
-        best = scores.argmax(1)
-        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, scores.max(1), 0.0)
+        return [self.languages[b] if ok else UNKNOWN for b, ok in zip(best, letters)], np.where(letters, scores[np.arange(len(best)), best], 0.0)
 
     @staticmethod
     def _letters(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -133,8 +133,8 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "do
 def predict(df: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
     """All columns of ``df``, then ``lang_pred`` and ``lang_score``.
 
-    ``lang_pred`` is the likeliest language and ``lang_score`` its posterior, with the evidence of
-    a long text cut to that of ``EVIDENCE`` n-grams. A text that is null, empty or without letters
+    ``lang_pred`` is the likeliest language by all n-grams; ``lang_score`` is its posterior with the
+    evidence of a long text cut to that of ``EVIDENCE`` n-grams. A text that is null, empty or without letters
     is ``und`` with score 0, as is every text under a model that has learned no language. Columns
     that have those two names already are replaced.
     """
