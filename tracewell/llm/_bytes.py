@@ -1,18 +1,19 @@
 """Words and their hashes, for whole Arrow batches of texts at a time.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, the same as ``[^\\x20\\x09-\\x0D]+`` over
-characters, because no byte of a longer UTF-8 sequence is in that set. Hashes are polynomial
-modulo 2**64 over per-byte random values, taken from prefix sums, so that neither the length of a
-word nor the length of a window costs anything extra.
+characters, because no byte of a longer UTF-8 sequence is in that set; ``bytes.split`` cuts at the
+same bytes. Hashes are keyed 64-bit hashes of whole words, and mixed combinations of these.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Texts are taken in blocks of about so many bytes (one text at least), which bounds the arrays.
 BLOCK_BYTES = 1 << 19
@@ -33,26 +34,22 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-BYTE = mix(np.arange(1, 257, dtype=U64) * U64(0x9E3779B97F4A7C15)) | U64(1)
-BYTE_LOWER = BYTE[LOWER]
-_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xD6E8FEB86659FD93
+_LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
+#: Key of the words' hash, and how many different words a worker remembers.
+WORD_SEED, REMEMBERED_WORDS = 0x5851F42D4C957F2D, 400_000
 
 
-class _Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as asked for."""
+class _Words(dict):
+    """Hashes of words, each computed when first asked for."""
 
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U64)
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh3_64_intdigest(word, WORD_SEED)
+        if len(word) <= 64:
+            self[word] = value
+        return value
 
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 1 << 16)
-            self.up, self.down = (np.cumprod(np.concatenate((np.ones(1, U64), np.full(size - 1, b, U64))), dtype=U64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
 
-
-_powers, _word_powers = _Powers(_BASE), _Powers(_WORD_BASE)
+_known = _Words()
 
 
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -95,33 +92,37 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off, "left")
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hash of the bytes of each span."""
-    if not len(starts):
-        return np.zeros(0, U64)
-    up, down = _powers.to(len(data))
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((BYTE_LOWER if lower else BYTE)[data] * up, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[np.minimum(starts, len(data) - 1)] + (ends - starts).astype(U64))
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of the bytes of each word, and the first word of each text (one entry more)."""
+    raw = data.tobytes().lower() if lower else data.tobytes()
+    if len(_known) > REMEMBERED_WORDS:
+        _known.clear()
+    look, out, first = _known.__getitem__, array("Q"), [0]
+    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+        out.extend(map(look, raw[a:b].split()))
+        first.append(len(out))
+    return np.frombuffer(out, U64) if out else np.zeros(0, U64), np.array(first, np.int64)
+
+
+def pair_hashes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return mix(x * _LEFT + (y << U64(31) | y >> U64(33)) * _RIGHT)
 
 
 def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hash of each ``width`` consecutive hashes, across texts too: callers leave those out."""
+    """64-bit hash of each ``width`` consecutive hashes, across texts too: callers leave those out.
+
+    Two windows of half the width make one, mixed at every step, so no sum over a window exists that
+    words of a chosen structure could cancel.
+    """
     n = len(hashes) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
-    up, down = _word_powers.to(len(hashes))
-    total = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up, out=total[1:])
-    return mix((total[width:] - total[:n]) * down[:n])
-
-
-def range_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the hashes from each ``begin`` up to its ``end``."""
-    up, down = _word_powers.to(len(hashes) + 1)
-    total = np.zeros(len(hashes) + 1, U64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
+    out, have = mix(hashes), 1
+    while have < width:
+        step = min(have, width - have)
+        out = pair_hashes(out[: len(out) - step], out[step:])
+        have += step
+    return out
 
 
 def owners(first: np.ndarray) -> np.ndarray:

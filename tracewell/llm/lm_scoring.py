@@ -19,14 +19,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._bytes import U64, blocks, signed, span_hashes, words
+from ._bytes import U64, blocks
 from ._stage import Stage
 
 PRIOR = 32_000.0
 #: Different words that a task holds before it hands their counts on.
 HELD_WORDS = 300_000
-#: Words, the most frequent ones, whose values every task has; 24 bytes each. The rest are joined.
-SHARED_WORDS = 1 << 18
+#: Words, the most frequent ones up to a length, whose values every task has. The rest are joined.
+SHARED_WORDS, SHARED_LENGTH = 1 << 18, 64
+#: Bytes of text whose words a task holds at most.
+HELD_BYTES = 64 << 20
 #: Words in one piece of the recursion, and the most bytes of a padded table of them.
 GROUP_WORDS, GROUP_BYTES = 4096, 1 << 18
 
@@ -55,13 +57,15 @@ class Pieces:
         self.prior *= PRIOR / self.prior.sum()
 
 
+_FACTOR = U64(0x100000001B3)
+_OFFSET = U64(0xCBF29CE484222325)
+
+
 @dataclass
 class Lattice:
-    """Log probabilities of pieces by the hash of their bytes, sorted."""
+    """A trie of the pieces by depth: hashes of all prefixes, sorted, and log probabilities (-inf: no piece)."""
 
-    keys: np.ndarray
-    logs: np.ndarray
-    lengths: np.ndarray  # lengths in bytes that pieces have
+    levels: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
     def of(cls, pieces: list[bytes | None], share: np.ndarray) -> Lattice:
@@ -70,16 +74,21 @@ class Lattice:
             # within a word a space only stands at its start
             if piece and p > 0 and piece.rfind(b" ") <= 0:
                 total[piece] = total.get(piece, 0.0) + p
-        names = sorted(total)
-        data, ends = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(n) for n in names])
-        keys = span_hashes(data, np.concatenate(([0], ends[:-1])).astype(np.int64), ends.astype(np.int64))
-        order = np.argsort(keys)
-        return cls(keys[order], np.log(np.array([total[n] for n in names]))[order], np.unique([len(n) for n in names]))
+        levels = []
+        for depth in range(1, max(map(len, total), default=0) + 1):
+            prefixes = sorted({piece[:depth] for piece in total if len(piece) >= depth})
+            keys = np.full(len(prefixes), _OFFSET)
+            for column in np.frombuffer(b"".join(prefixes), np.uint8).reshape(-1, depth).T:
+                keys = (keys ^ column) * _FACTOR
+            logs = np.array([math.log(total[x]) if x in total else -math.inf for x in prefixes])
+            order = np.argsort(keys)
+            levels.append((keys[order], logs[order]))
+        return cls(levels)
 
     def log_probabilities(self, texts: list[bytes]) -> np.ndarray:
         """Natural log of the sum over all segmentations of each of the words, word mark included."""
         out = np.zeros(len(texts))
-        size = np.array([len(t) + 1 for t in texts])
+        size = np.array([len(t) + 1 for t in texts], np.int64)
         order = np.argsort(size, kind="stable")
         at = 0
         while at < len(order):
@@ -91,35 +100,58 @@ class Lattice:
             at += n
         return out
 
+    def edges(self, data: np.ndarray, end: np.ndarray):
+        """(first byte, length, log probability) of all pieces in the bytes, up to the ``end`` of each byte's word."""
+        begin, keys = np.arange(len(data)), np.full(len(data), _OFFSET)
+        for length, (known, logs) in enumerate(self.levels, 1):
+            inside = begin + length <= end[begin]
+            begin = begin[inside]
+            keys = (keys[inside] ^ data[begin + length - 1]) * _FACTOR
+            at = np.searchsorted(known, keys)
+            at[at == len(known)] = 0
+            on = known[at] == keys
+            begin, keys, log = begin[on], keys[on], logs[at[on]]
+            piece = log > -np.inf
+            yield begin[piece], length, log[piece]
+            if not len(begin):
+                return
+
     def _forward(self, texts: list[bytes], size: np.ndarray) -> np.ndarray:
         data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
-        longest = int(size[-1])  # sizes ascend
-        alpha = np.full((longest + 1, len(texts)), -np.inf)
+        first = np.concatenate(([0], np.cumsum(size)[:-1])).astype(np.int64)
+        found = [(b, np.full(len(b), n), x) for b, n, x in self.edges(data, np.repeat(first + size, size))]
+        begin, length, log = (np.concatenate([f[k] for f in found]) for k in range(3))
+        of = np.repeat(np.arange(len(texts)), size)[begin]
+        last = begin - first[of] + length
+        order = np.lexsort((of, length, last))
+        of, last, length, log = of[order], last[order], length[order], log[order]
+        if len(texts) == 1:
+            return np.array([self._forward_one(int(size[0]), last, length, log)])
+        # pieces of one length that end at one place are in different words
+        alpha = np.full((int(size[-1]) + 1, len(texts)), -np.inf)
         alpha[0] = 0.0
-        for i in range(1, longest + 1):
-            alive = int(np.searchsorted(size, i))
-            total = alpha[i, alive:]
-            for length in self.lengths[self.lengths <= i]:
-                before = alpha[i - length, alive:]
-                hashes = span_hashes_at(data, begin[alive:] + (i - length), int(length))
-                at = np.searchsorted(self.keys, hashes)
-                at[at == len(self.keys)] = 0
-                hit = np.flatnonzero(self.keys[at] == hashes)
-                if len(hit):
-                    total[hit] = np.logaddexp(total[hit], before[hit] + self.logs[at[hit]])
+        cuts = np.flatnonzero(np.concatenate(([True], (last[1:] != last[:-1]) | (length[1:] != length[:-1])))) if len(last) else last
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(last)).tolist()):
+            i, words_ = last[a], of[a:b]
+            alpha[i, words_] = np.logaddexp(alpha[i, words_], alpha[i - length[a], words_] + log[a:b])
         return alpha[size, np.arange(len(texts))]
 
+    @staticmethod
+    def _forward_one(size: int, last: np.ndarray, length: np.ndarray, log: np.ndarray) -> float:
+        """One long word, in time in proportion to its length."""
+        alpha, at, terms = [0.0] + [-math.inf] * size, 0, []
+        for i, n, x in zip(last.tolist(), length.tolist(), log.tolist()):
+            if i != at:
+                alpha[at] = _log_sum(terms) if at else 0.0
+                at, terms = i, []
+            terms.append(alpha[i - n] + x)
+        alpha[at] = _log_sum(terms)
+        return alpha[size]
 
-def span_hashes_at(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """``span_hashes`` of spans of one length, without sums over what lies between."""
-    from ._bytes import BYTE, _powers, mix
 
-    up, _ = _powers.to(max(length, 1))
-    total = np.zeros(len(starts), U64)
-    for j in range(length):
-        total += BYTE[data[starts + j]] * up[j]
-    return mix(total + U64(length))
+def _log_sum(terms: list[float]) -> float:
+    most = max(terms, default=-math.inf)
+    return most + math.log(sum(math.exp(x - most) for x in terms)) if most > -math.inf else most
 
 
 def _word_counts(df: DataFrame) -> DataFrame:
@@ -135,12 +167,15 @@ def _word_counts(df: DataFrame) -> DataFrame:
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(counts, pa.int64())], ["word", "c"])
 
+        taken = 0
         for batch, data, off in blocks(batches, "t"):
             raw = data.tobytes().lower()
+            taken += len(raw)
             for train, a, b in zip(batch.column("train").to_pylist(), off[:-1].tolist(), off[1:].tolist()):
                 held[train].update(raw[a:b].split())
-            if sum(map(len, held.values())) > HELD_WORDS:
+            if taken > HELD_BYTES or sum(map(len, held.values())) > HELD_WORDS:
                 yield flush()
+                taken = 0
         yield flush()
 
     return df.select("train", "t").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
@@ -196,7 +231,7 @@ def score(df: DataFrame, train, path: str, text: str = "text", doc_id: str = "do
     log10 of the add-one estimates of the tokens from the training rows, ``score`` is log10 of the
     product of the words' marginal probabilities and that of the end. Rows that repeat count as often
     as they stand there. Without training rows every token is unknown and pieces have their prior
-    only. Other columns are not carried. A word is known by a 64-bit hash.
+    only. Other columns are not carried.
     """
     spark = df.sparkSession
     stage = Stage(spark, "lattice")
@@ -216,41 +251,40 @@ def score(df: DataFrame, train, path: str, text: str = "text", doc_id: str = "do
 
     def values(batches):
         for batch in batches:
-            names = batch.column("word").to_pylist()
-            data, size = np.frombuffer(b"".join(names), np.uint8), np.cumsum([len(n) for n in names], dtype=np.int64)
-            keys = span_hashes(data, np.concatenate((np.zeros(1, np.int64), size[:-1])), size) if names else np.zeros(0, U64)
-            logs = lattice.value.log_probabilities(names) / math.log(10)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), batch.column("c"), pa.array(logs)], ["h", "c", "lp"])
+            logs = lattice.value.log_probabilities(batch.column("word").to_pylist()) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(logs)], ["word", "c", "lp"])
 
-    table = stage.put(counts.select("word", "c").mapInArrow(values, "h long, c long, lp double"), "words")
+    table = stage.put(counts.select("word", "c").mapInArrow(values, "word binary, c long, lp double"), "words")
     stage.drop("counts")
-    # at most SHARED_WORDS rows of three numbers
-    top = table.where(F.col("c") >= _frequent_from(table, SHARED_WORDS)).toArrow().sort_by("h")
-    known = spark.sparkContext.broadcast((top["h"].to_numpy(), np.log10(top["c"].to_numpy() + 1.0), top["lp"].to_numpy()))
+    # at most SHARED_WORDS rows of bounded size
+    some = table.where(F.length("word") <= SHARED_LENGTH)
+    top = some.where(F.col("c") >= _frequent_from(some, SHARED_WORDS)).toArrow()
+    known = spark.sparkContext.broadcast((top["word"].to_pylist(), np.log10(top["c"].to_numpy() + 1.0), top["lp"].to_numpy()))
 
     def look_up(batches):
-        keys, bases, logs = known.value
+        names, bases, logs = known.value
+        place, none = {w: k for k, w in enumerate(names)}, len(names)
+        bases, logs = np.append(bases, 0.0), np.append(logs, 0.0)
         number = TaskContext.get().partitionId() << 33
         for batch, data, off in blocks(batches, "t"):
-            starts, ends_, first = words(data, off)
-            hashes = signed(span_hashes(data, starts, ends_, lower=True))
-            at = np.searchsorted(keys, hashes)
-            at[at == len(keys)] = 0
-            hit = keys[at] == hashes if len(keys) else np.zeros(len(hashes), bool)
-            of = np.searchsorted(first, np.arange(len(hashes)), "right") - 1
+            raw, sums, rest, bounds = data.tobytes().lower(), [], [], [0]
+            for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
+                split = raw[a:b].split()
+                at = np.array([place.get(w, none) for w in split], np.int64)
+                sums.append((len(split) + 1, int((at < none).sum()), float(bases[at].sum()), float(logs[at].sum())))
+                rest += [split[k] for k in np.flatnonzero(at == none).tolist()]
+                bounds.append(len(rest))
             n = batch.num_rows
-            sums = [np.bincount(of[hit], weights=w, minlength=n) for w in ((bases[at[hit]], logs[at[hit]]) if len(keys) else (hashes[:0], hashes[:0]))]
-            rest, rest_of = hashes[~hit], of[~hit]
-            bounds = pa.array(np.searchsorted(rest_of, np.arange(n + 1)), pa.int32())
+            columns = list(zip(*sums)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(number, number + n)), batch.column("doc_id"), pa.array(~np.array(batch.column("train").to_pylist(), bool)), pa.array(np.diff(first) + 1), pa.array(np.bincount(of[hit], minlength=n)), pa.array(sums[0].astype(float)), pa.array(sums[1].astype(float)), pa.ListArray.from_arrays(bounds, pa.array(rest))],
+                [pa.array(np.arange(number, number + n)), batch.column("doc_id"), pa.array([not x for x in batch.column("train").to_pylist()], pa.bool_()), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(rest, pa.binary()))],
                 ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "lp", "rest"],
             )
             number += n
 
     kind = df.schema[doc_id].dataType.simpleString()
-    part = stage.put(rows.select("doc_id", "train", "t").mapInArrow(look_up, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lp double, rest array<long>"), "rows")
-    rest = part.select("row", F.explode("rest").alias("h")).join(table, "h")
+    part = stage.put(rows.select("doc_id", "train", "t").mapInArrow(look_up, f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, lp double, rest array<binary>"), "rows")
+    rest = part.select("row", F.explode("rest").alias("word")).join(table, "word")
     rest = rest.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("k"), F.sum(F.log10(F.col("c") + F.lit(1.0))).alias("b"), F.sum("lp").alias("l"))
     done = part.drop("rest").join(stage.put(rest, "rest"), "row", "left")
     lower = math.log10(tokens + different + 1)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import U64, blocks, mix, owners, span_hashes, whole_windows, window_hashes, words
+from ._bytes import U64, blocks, mix, owners, whole_windows, window_hashes, word_hashes, words
 from ._stage import small_batches
 
 #: Buckets of each of the kinds of features: words, pairs of words, runs of three bytes.
@@ -43,7 +43,7 @@ def _means(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _hashed(data: np.ndarray, off: np.ndarray):
     starts, ends, first = words(data, off)
-    return starts, ends, first, span_hashes(data, starts, ends)
+    return starts, ends, first, word_hashes(data, off)[0]
 
 
 @dataclass
