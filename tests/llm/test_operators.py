@@ -103,7 +103,7 @@ def test_fingerprint_index_knows_old_windows(spark):
     index = substring_dedup.FingerprintIndex(spark)
     index.add(make(first))
     index.add(make(first + second))
-    assert index._read(index.runs[1]).where("old").count() > 0 and index._read(index.runs[1]).where("not old").count() > 0
+    assert index._read(index.runs[1]).where("again").count() > 0 and index._read(index.runs[1]).where("not again").count() > 0
     index.compact()
     assert len(index.runs) == 1 and index.repeated().count() > 0
 

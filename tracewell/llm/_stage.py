@@ -31,6 +31,10 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+#: Removes the shuffle files of a written plan once it has ended; set for that plan only.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
     """A private folder of Parquet tables below the shared one.
 
@@ -45,11 +49,21 @@ class Stage:
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        # the shuffle files of the written plan are garbage now; let the cleaner see it
-        self.spark.sparkContext._jvm.System.gc()
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def names(self) -> list[str]:
+        """The tables that are there."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.root)
+        files = root.getFileSystem(conf)
+        return [x.getPath().getName() for x in files.listStatus(root)] if files.exists(root) else []
+
     def drop(self, *names: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:

@@ -3,9 +3,9 @@
 A window of ``WIDTH`` words is found by its anchor, the smallest hash of its runs of ``GRAM`` words
 (the first of equals). Equal windows have equal anchors, and neighbouring windows mostly share one,
 so the index holds about one fingerprint per 14 words. It is kept as sorted immutable runs: the
-fingerprints of each new batch are merge-joined with the runs, written as a run of their own, and
-all runs are compacted into one. Only for anchors that occur twice the windows themselves are
-compared, by a further 64-bit hash each beside the anchor's.
+fingerprints of each new batch are merge-joined with the runs, which marks the anchors that occur
+again, and written as a run of their own; many runs are compacted into one. Only for marked anchors
+the windows themselves are compared, word by word.
 
 The windows that share one anchor occurrence, a *stretch*, are first compared as a whole, so that a
 passage with thousands of copies is one row from the first aggregation on; single windows are only
@@ -14,16 +14,20 @@ compared between different stretches of the same anchor.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._bytes import U64, blocks, range_hashes, signed, span_hashes, whole_windows, window_hashes, words
+from ._bytes import U64, blocks, pair_hashes, signed, whole_windows, window_hashes, word_hashes, words
 from ._stage import Stage
 
 WIDTH, GRAM = 35, 8
+#: Runs that an index has at most before they are compacted.
+MOST_RUNS = 8
 
 
 def _stretches(hashes: np.ndarray, first: np.ndarray, width: int, gram: int):
@@ -46,7 +50,9 @@ def _stretches(hashes: np.ndarray, first: np.ndarray, width: int, gram: int):
     new = np.concatenate(([True], anchor[1:] != anchor[:-1]))
     begin = np.flatnonzero(new)
     count = np.diff(np.concatenate((begin, [len(starts)])))
-    whole = range_hashes(hashes, starts[begin], starts[begin] + count - 1 + width)
+    # its first and its last window overlap, and cover it
+    full = window_hashes(hashes, width)
+    whole = pair_hashes(pair_hashes(full[starts[begin]], full[starts[begin] + count - 1]), count.astype(U64))
     return grams[anchor[begin]], whole, starts[begin], count, starts
 
 
@@ -57,67 +63,95 @@ def _keyed(df: DataFrame, text: str, doc_id: str) -> DataFrame:
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fingerprint, occurrences) in the shared folder."""
+    """Sorted immutable runs of (anchor, n: occurrences, again: whether it was known by then).
 
-    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM):
-        self.stage, self.width, self.gram = Stage(spark, "fingerprints"), width, gram
-        self.runs: list[str] = []
-        self.written = 0
+    A run has ``buckets`` files, dealt by a hash of the anchor and sorted by it, so that a batch that is
+    dealt and sorted alike is merge-joined with the runs without moving any of them. ``add`` marks what
+    of a batch the runs have, or the batch has twice; ``repeated`` are the marks of all runs. Runs are
+    compacted into one when there are ``MOST_RUNS``. Given a ``path`` below which an index was left,
+    its runs are opened again.
+    """
 
-    def _write(self, df: DataFrame) -> DataFrame:
-        name = f"run{self.written}"
-        self.written += 1
-        run = self.stage.put(df.sortWithinPartitions("anchor"), name)
-        self.runs.append(name)
-        return run
+    def __init__(self, spark: SparkSession, width: int = WIDTH, gram: int = GRAM, path: str | None = None, buckets: int | None = None):
+        self.stage, self.width, self.gram = Stage(spark, "fingerprints"), width, gram
+        if path:
+            self.stage.root = path.rstrip("/")
+        self.runs = sorted(self.stage.names())
+        parts = [int(name.split("-")[2]) for name in self.runs]
+        self.buckets = parts[0] if parts else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _write(self, df: DataFrame) -> str:
+        name = f"run-{int(self.runs[-1].split('-')[1]) + 1 if self.runs else 0:06d}-{self.buckets}"
+        table = f"tracewell_{uuid.uuid4().hex}"
+        writer = df.select("anchor", "n", "again").write.format("parquet").bucketBy(self.buckets, "anchor").sortBy("anchor")
+        writer.option("path", f"{self.stage.root}/{name}").option("compression", "zstd").saveAsTable(table)
+        self.stage.spark.sql(f"DROP TABLE {table}")  # of the catalog only; the files stay
+        return name
 
     def _read(self, name: str) -> DataFrame:
-        return self.stage.spark.read.schema("anchor long, n long, old boolean").parquet(f"{self.stage.root}/{name}")
+        """A run, known by its buckets."""
+        spark, table = self.stage.spark, f"tracewell_{uuid.uuid4().hex}"
+        spark.sql(f"CREATE TABLE {table} (anchor BIGINT, n BIGINT, again BOOLEAN) USING parquet CLUSTERED BY (anchor) SORTED BY (anchor) INTO {self.buckets} BUCKETS LOCATION '{self.stage.root}/{name}'")
+        self.tables = [*getattr(self, "tables", []), table]
+        return spark.table(table)
+
+    def close(self, keep: bool = False) -> None:
+        for table in getattr(self, "tables", []):
+            self.stage.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self.tables = []
+        if not keep:
+            self.stage.drop(*self.runs)
 
     def fingerprints(self, texts: DataFrame) -> DataFrame:
         width, gram = self.width, self.gram
 
         def run(batches):
             for _, data, off in blocks(batches, "t"):
-                starts, ends, first = words(data, off)
-                anchors, counts = np.unique(_stretches(span_hashes(data, starts, ends), first, width, gram)[0], return_counts=True)
+                hashes, first = word_hashes(data, off)
+                anchors, counts = np.unique(_stretches(hashes, first, width, gram)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(anchors)), pa.array(counts)], ["anchor", "n"])
 
-        return texts.select("t").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-
-    def add(self, texts: DataFrame) -> None:
-        """Merge-join a batch with the runs so far, and write it as the next run.
-
-        ``old`` marks fingerprints that an earlier run has, so that a caller who adds a batch at a
-        time can see what of it is new without reading the older texts again.
-        """
-        batch, seen = self.fingerprints(texts), None
-        for name in self.runs:
-            run = self._read(name).select("anchor")
-            seen = run if seen is None else seen.unionAll(run)
-        if seen is None:
-            self._write(batch.withColumn("old", F.lit(False)))
-        else:
-            seen = seen.distinct().withColumn("old", F.lit(True))
-            self._write(batch.join(seen.hint("merge"), "anchor", "left").select("anchor", "n", F.coalesce("old", F.lit(False)).alias("old")))
+        dealt = texts.select("t").mapInArrow(run, "anchor long, n long")
+        return dealt.groupBy("anchor").agg(F.sum("n").alias("n"))
+
+    def add(self, texts: DataFrame) -> DataFrame:
+        """Merge-join a batch with each run, write it as the next one, and return it."""
+        batch = self.fingerprints(texts).repartition(self.buckets, "anchor")
+        again = F.col("n") > 1
+        for k, name in enumerate(self.runs):
+            run = self._read(name).select("anchor", F.lit(True).alias(f"in{k}"))
+            batch = batch.join(run.hint("merge"), "anchor", "left")
+            again = again | F.coalesce(f"in{k}", F.lit(False))
+        name = self._write(batch.select("anchor", "n", again.alias("again")))
+        self.runs.append(name)
+        out = self._read(name)
+        if len(self.runs) >= MOST_RUNS:
+            self.compact()
+            out = self._read(self.runs[-1])
+        return out
 
     def compact(self) -> None:
-        """Replace all runs by one."""
+        """Merge all runs into one, which keeps every mark; their buckets need not be moved."""
         if len(self.runs) > 1:
-            old, all_runs = self.runs, None
-            for name in old:
-                run = self._read(name)
-                all_runs = run if all_runs is None else all_runs.unionAll(run)
-            self.runs = []
-            self._write(all_runs.groupBy("anchor").agg(F.sum("n").alias("n"), F.lit(False).alias("old")))
+            old, all_runs = list(self.runs), self._read(self.runs[0])
+            for name in old[1:]:
+                both = all_runs.join(self._read(name).select("anchor", F.col("n").alias("m"), F.col("again").alias("too")).hint("merge"), "anchor", "full")
+                # a later run that has an earlier one's anchor is marked for it
+                all_runs = both.select("anchor", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"), (F.coalesce("again", F.lit(False)) | F.coalesce("too", F.lit(False))).alias("again"))
+            self.runs = [*old, self._write(all_runs)]
             self.stage.drop(*old)
+            self.runs = self.runs[len(old) :]
 
     def repeated(self) -> DataFrame:
-        self.compact()
-        return self._read(self.runs[0]).where("n > 1").select("anchor")
+        """The anchors that a merge join found in an earlier run, or that a batch has twice."""
+        marked = None
+        for name in self.runs:
+            run = self._read(name).where("again").select("anchor")
+            marked = run if marked is None else marked.unionAll(run)
+        return marked.distinct()
 
 
-_STRETCH = "k1 long, k2 long, anchor long, whole long, start int, windows array<long>"
+_STRETCH = "k1 long, k2 long, anchor long, whole long, start int, windows array<long>, body string"
 
 
 def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, gram: int = GRAM, batches: int = 2) -> DataFrame:
@@ -128,7 +162,8 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     empty text, and one of fewer words than a window, loses nothing; for null, ``kept_text`` is
     empty. Rows that repeat, and several rows with one id or none, count as texts of their own: the
     windows of repeated rows are repeats. Columns that have one of the three names are replaced.
-    The table is read in ``batches`` batches into a fresh index, by a hash of the text.
+    The table is added to an index in ``batches`` batches, by a hash of the text; the marks of the index's
+    merge joins say which anchors are looked at.
     """
     spark = df.sparkSession
     stage, index = Stage(spark, "windows"), FingerprintIndex(spark, width, gram)
@@ -139,8 +174,8 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
 
     def occurrences(batches_):
         for batch, data, off in blocks(batches_, "t"):
-            starts, ends, first = words(data, off)
-            anchor, _, begin, _, _ = _stretches(span_hashes(data, starts, ends), first, width, gram)
+            hashes, first = word_hashes(data, off)
+            anchor, _, begin, _, _ = _stretches(hashes, first, width, gram)
             of = np.searchsorted(first, begin, "right") - 1
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array(of)), batch.column("k2").take(pa.array(of)), pa.array(signed(anchor))], ["k1", "k2", "anchor"])
 
@@ -151,7 +186,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     def stretches(batches_):
         for batch, data, off in blocks(batches_, "t"):
             starts, ends, first = words(data, off)
-            hashes = span_hashes(data, starts, ends)
+            hashes, raw = word_hashes(data, off)[0], data.tobytes()
             anchor, whole, begin, count, window = _stretches(hashes, first, width, gram)
             of = np.searchsorted(first, begin, "right") - 1
             lists = batch.column("anchors").combine_chunks() if isinstance(batch.column("anchors"), pa.ChunkedArray) else batch.column("anchors")
@@ -166,27 +201,35 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             chosen = full[window[np.repeat(wanted, count)]] if len(window) else full
             offsets = pa.array(np.concatenate(([0], np.cumsum(count[keep]))), pa.int32())
             of = pa.array(of[keep])
+            bodies = [b" ".join(raw[starts[a] : ends[b]].split()) for a, b in zip(begin[keep].tolist(), (begin[keep] + count[keep] + width - 2).tolist())]
             local = (begin[keep] - first[np.searchsorted(first, begin[keep], "right") - 1]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("k1").take(of), batch.column("k2").take(of), pa.array(signed(anchor[keep])), pa.array(signed(whole[keep])), pa.array(local), pa.ListArray.from_arrays(offsets, pa.array(chosen))], ["k1", "k2", "anchor", "whole", "start", "windows"])
+            yield pa.RecordBatch.from_arrays([batch.column("k1").take(of), batch.column("k2").take(of), pa.array(signed(anchor[keep])), pa.array(signed(whole[keep])), pa.array(local), pa.ListArray.from_arrays(offsets, pa.array(chosen)), pa.array(bodies, pa.binary()).cast(pa.string())], ["k1", "k2", "anchor", "whole", "start", "windows", "body"])
 
     rows = texts.join(found.hint("merge"), ["k1", "k2"]).mapInArrow(stretches, _STRETCH)
     rows = stage.put(rows, "stretches")
-    kinds = stage.put(rows.groupBy("anchor", "whole").agg(F.count("*").alias("n"), F.first("windows").alias("windows")), "kinds")
+    # stretches are alike if their words are; the hash beside the words tells their kinds apart from here on
+    kinds = stage.put(rows.groupBy("anchor", "whole", "body").agg(F.count("*").alias("n"), F.first("windows").alias("windows")).withColumn("kind", F.xxhash64("body")), "kinds")
     # a window of a stretch that occurs once is repeated if another stretch of the anchor has it
     # anchors of one stretch only need no look at single windows, nor do those without a lone stretch
     mixed = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1").select("anchor")
-    lone = kinds.join(stage.put(mixed, "mixed"), "anchor").select("anchor", "n", "whole", F.posexplode("windows").alias("at", "window"))
+    lone = kinds.join(stage.put(mixed, "mixed"), "anchor").select("anchor", "n", "whole", "kind", F.posexplode("windows").alias("at", "window"))
     lone = stage.put(lone, "lone")
-    shared = stage.put(lone.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window"), "shared")
-    marks = lone.where("n = 1").join(shared, ["anchor", "window"]).groupBy("anchor", "whole").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    marks = kinds.where("n > 1").select("anchor", "whole", F.sequence(F.lit(0), F.size("windows") - 1).alias("at")).unionByName(marks)
+    alike = stage.put(lone.groupBy("anchor", "window").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "window"), "alike")
+    # windows of one hash are compared word by word, in the stretches that they are in
+    near = lone.join(alike, ["anchor", "window"]).groupBy("anchor", "whole", "kind").agg(F.collect_list(F.struct("at", "window")).alias("wanted"))
+    near = near.join(kinds.select("anchor", "whole", "kind", "body", "n"), ["anchor", "whole", "kind"]).withColumn("words", F.split("body", " "))
+    near = near.select("anchor", "whole", "kind", "n", F.explode("wanted").alias("w"), "words")
+    near = stage.put(near.select("anchor", "whole", "kind", "n", "w.at", "w.window", F.array_join(F.slice("words", F.col("w.at") + 1, width), " ").alias("text")), "near")
+    shared = near.groupBy("anchor", "window", "text").agg(F.count("*").alias("m")).where("m > 1").select("anchor", "window", "text")
+    marks = near.where("n = 1").join(stage.put(shared, "shared"), ["anchor", "window", "text"]).groupBy("anchor", "whole", "kind").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    marks = kinds.where("n > 1").select("anchor", "whole", "kind", F.sequence(F.lit(0), F.size("windows") - 1).alias("at")).unionByName(marks)
     marks = stage.put(marks, "marks")
-    starts = rows.select("k1", "k2", "anchor", "whole", "start").distinct().join(marks, ["anchor", "whole"])
+    starts = rows.select("k1", "k2", "anchor", "whole", F.xxhash64("body").alias("kind"), "start").distinct().join(marks, ["anchor", "whole", "kind"])
     # at most 28 positions for each of a text's stretches, which is the size of the text
     starts = starts.select("k1", "k2", F.transform("at", lambda a: a + F.col("start")).alias("at")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("at")).alias("repeats"))
     starts = stage.put(starts, "starts")
-    stage.drop("found", "stretches", "kinds", "mixed", "lone", "shared", "marks")
-    index.stage.drop(*index.runs)
+    stage.drop("found", "stretches", "kinds", "mixed", "lone", "alike", "near", "shared", "marks")
+    index.close()
 
     added = [("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())]
     kept = [f for f in df.schema.fields if f.name not in dict(added) and f.name != text]
