@@ -2,12 +2,12 @@
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D, the same as ``[^\\x20\\x09-\\x0D]+`` over
 characters, because no byte of a longer UTF-8 sequence is in that set; ``bytes.split`` cuts at the
-same bytes. Hashes are keyed 64-bit hashes of whole words, and mixed combinations of these.
+same bytes. Hashes are keyed 64-bit hashes of whole words, and mixed combinations of
+these.
 """
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -35,21 +35,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _LEFT, _RIGHT = U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)
-#: Key of the words' hash, and how many different words a worker remembers.
-WORD_SEED, REMEMBERED_WORDS = 0x5851F42D4C957F2D, 400_000
-
-
-class _Words(dict):
-    """Hashes of words, each computed when first asked for."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word, WORD_SEED)
-        if len(word) <= 64:
-            self[word] = value
-        return value
-
-
-_known = _Words()
+#: Key of the hash of words, and the bytes that are taken as numbers; longer words are hashed one by one.
+WORD_SEED, NUMBER_BYTES = 0x5851F42D4C957F2D, 16
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def as_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,16 +80,34 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, ends, np.searchsorted(starts, off, "left")
 
 
+def span_numbers(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A keyed 64-bit hash of the bytes of each span, and its first and second eight bytes as numbers.
+
+    Spans of up to ``NUMBER_BYTES`` bytes are alike if their lengths and both numbers are.
+    """
+    raw = np.zeros(len(data) + NUMBER_BYTES + 8, np.uint8)
+    raw[: len(data)] = data
+    eight = np.ndarray((len(data) + NUMBER_BYTES,), "<u8", raw, strides=(1,))
+    size = ends - starts
+    low = eight[starts] & _MASK[np.minimum(size, 8)]
+    high = eight[starts + 8] & _MASK[np.clip(size - 8, 0, 8)]
+    out = pair_hashes(mix(low ^ U64(WORD_SEED)), mix(high + size.astype(U64) * _LEFT))
+    for k in np.flatnonzero(size > NUMBER_BYTES).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]], WORD_SEED)
+    return out, low, high
+
+
 def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of the bytes of each word, and the first word of each text (one entry more)."""
-    raw = data.tobytes().lower() if lower else data.tobytes()
-    if len(_known) > REMEMBERED_WORDS:
-        _known.clear()
-    look, out, first = _known.__getitem__, array("Q"), [0]
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-        out.extend(map(look, raw[a:b].split()))
-        first.append(len(out))
-    return np.frombuffer(out, U64) if out else np.zeros(0, U64), np.array(first, np.int64)
+    """A keyed 64-bit hash of the bytes of each word, and the first word of each text (one entry more)."""
+    starts, ends, first = words(data, off)
+    if not len(starts):
+        return np.zeros(0, U64), first
+    return span_numbers(LOWER[data] if lower else data, starts, ends)[0], first
+
+
+def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Indices of the ranges of ``size`` that start at ``begin``, one after the other."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
 def pair_hashes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
