@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from ._stage import Stage
 
-#: Rows that the tree is fitted on, its branching, and the rows a leaf should have.
-FIT_ROWS, BRANCHES, LEAF_ROWS, MAX_LEAVES = 16_384, 16, 256, 4096
+#: Rows that the tree is fitted on at least and at most, its branching, and the rows a leaf should have.
+FIT_ROWS, MOST_FIT_ROWS, BRANCHES, LEAF_ROWS = 16_384, 262_144, 16, 256
 #: Queries that calibrate the visits, and the recall they must reach; above what is asked for.
 CALIBRATION_QUERIES, RECALL = 200, 0.95
 #: Rows and queries that meet in one group, and queries scored at once.
@@ -159,10 +159,12 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", vector:
 
     # the tree, from a sample of bounded size
     mark = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, n / total) * (1 << 30))
-    sample, _ = _matrix(rows.where(mark("fit", FIT_ROWS)).select("v").toArrow().column("v"), size)
+    # about 16 sampled rows for each of sqrt(total) leaves, so that leaves grow no faster than their number
+    fit_rows = min(MOST_FIT_ROWS, max(FIT_ROWS, int(16 * total**0.5)))
+    sample, _ = _matrix(rows.where(mark("fit", fit_rows)).select("v").toArrow().column("v"), size)
     if not len(sample):
         sample, _ = _matrix(rows.orderBy("id").limit(1).select("v").toArrow().column("v"), size)
-    tree = spark.sparkContext.broadcast(grow(_raised(sample, norm), min(MAX_LEAVES, max(1, total // LEAF_ROWS), max(1, len(sample) // 8))))
+    tree = spark.sparkContext.broadcast(grow(_raised(sample, norm), min(max(1, total // LEAF_ROWS), max(1, len(sample) // 8))))
 
     def place(batches):
         for batch in batches:
@@ -219,18 +221,34 @@ def search(df: DataFrame, queries, k: int = 20, vec_id: str = "vec_id", vector:
     right = visited.withColumn("part", salt("part", table([max(1, p) for p in parts], F.col("shard"))))
     right = right.select("id", "v", "leaves", "shard", F.explode(F.sequence(F.lit(0), table(block_counts, F.col("shard")) - 1)).alias("block"), "part")
 
+    k_ = k
+
     def meet(rows_: pa.Table, asked_: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if rows_.num_rows and asked_.num_rows:
+            rows_ = rows_.sort_by("leaf")
             (x, _), (q, _) = _matrix(rows_.column("v"), size), _matrix(asked_.column("v"), size)
             ids, asked_ids, leaf = rows_.column("id").to_numpy(), asked_.column("id").to_numpy(), rows_.column("leaf").to_numpy()
-            wanted = asked_.column("leaves").to_pylist()
-            for first in range(0, len(q), STEP):
-                scores = q[first : first + STEP] @ x.T
-                for i, s in enumerate(scores):
-                    s[~np.isin(leaf, wanted[first + i]) | (ids == asked_ids[first + i])] = -np.inf
-                    best = _top(s, ids, k)
-                    out.append((np.full(len(best), asked_ids[first + i]), ids[best], s[best]))
+            # the queries of each leaf meet the rows of that leaf only
+            lists = asked_.column("leaves").combine_chunks()
+            of = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy())
+            wanted = lists.flatten().to_numpy()
+            for k in np.unique(wanted):
+                a, b = np.searchsorted(leaf, (k, k + 1))
+                if a < b:
+                    mine = of[wanted == k]
+                    for first in range(0, len(mine), STEP):
+                        some = mine[first : first + STEP]
+                        scores = q[some] @ x[a:b].T
+                        scores[asked_ids[some][:, None] == ids[a:b]] = -np.inf
+                        for i, s in zip(some, scores):
+                            best = _top(s, ids[a:b], k_)
+                            out.append((np.full(len(best), i), ids[a:b][best], s[best]))
+            which, ids, scores = (np.concatenate([o[j] for o in out]) if out else np.zeros(0, np.int64) for j in range(3))
+            order = np.lexsort((ids, -scores, which))
+            rank = np.arange(len(order)) - np.searchsorted(which[order], which[order])
+            order = order[rank < k_]
+            out = [(asked_ids[which[order]], ids[order], scores[order])]
         columns = [np.concatenate([o[j] for o in out]) if out else np.zeros(0) for j in range(3)]
         return pa.table({"query_id": pa.array(columns[0], pa.int64()), "vec_id": pa.array(columns[1], pa.int64()), "score": pa.array(columns[2], pa.float64())})
 
@@ -244,18 +262,22 @@ def _calibrate(placed: DataFrame, probe: np.ndarray, probe_ids: np.ndarray, tree
     """The fewest visits with which the sampled queries reach ``RECALL``; all rows are searched."""
 
     def exact(batches):
+        # the best so far of each sampled query: scores, ids and leaves, kept over all batches of the task
+        top = [np.full((len(probe), k), -np.inf), np.full((len(probe), k), np.iinfo(np.int64).max), np.zeros((len(probe), k), np.int64)]
         for batch in batches:
             x, _ = _matrix(batch.column("v"), size)
             ids, leaf = batch.column("id").to_numpy(), batch.column("leaf").to_numpy()
-            parts = []
-            for first in range(0, len(probe), STEP):
-                scores = probe[first : first + STEP] @ x.T
-                for i, s in enumerate(scores):
-                    s[ids == probe_ids[first + i]] = -np.inf
-                    best = _top(s, ids, k)
-                    parts.append((np.full(len(best), first + i), ids[best], s[best], leaf[best]))
-            columns = [np.concatenate([p[j] for p in parts]) for j in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.int32())], ["query", "id", "score", "leaf"])
+            scores = probe @ x.T
+            scores[probe_ids[:, None] == ids] = -np.inf
+            least = top[0].min(1)
+            for i in np.flatnonzero(scores.max(1, initial=-np.inf) >= least):
+                near = np.flatnonzero(scores[i] >= least[i])
+                every = [np.concatenate([t[i], new]) for t, new in zip(top, (scores[i, near], ids[near], leaf[near]))]
+                order = np.lexsort((every[1], -every[0]))[:k]
+                for t, values in zip(top, every):
+                    t[i] = values[order]
+        at = np.nonzero(top[0] > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(top[1][at]), pa.array(top[0][at]), pa.array(top[2][at], pa.int32())], ["query", "id", "score", "leaf"])
 
     best = placed.select("id", "v", "leaf").mapInArrow(exact, "query int, id long, score double, leaf int")
     by = Window.partitionBy("query").orderBy(F.desc("score"), "id")
