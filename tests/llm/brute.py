@@ -59,10 +59,21 @@ def repeats_removed(texts, width=35):
 
 def chunks(text):
     lines = text.split("\n")
-    hashes = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
+    alike = [0 <= i and i + 1 < len(h) and h[i] == h[i + 1] for i in range(-1, len(h) + 1)]  # alike[i + 1]: lines i and i + 1
+    ends, since = [], 0
+    for i, x in enumerate(h):
+        rolled = ((h[i - 2] if i > 1 else 0) * 31 + (h[i - 1] if i else 0)) * 31 + x
+        end = rolled % 5 == 0 or alike[i] or alike[i + 1] or alike[i + 2]
+        since = 0 if end else since + 1
+        if since == 32:
+            end, since = True, 0
+        ends.append(end and i > 0)
+    for i in range(1, len(ends)):
+        ends[i] = ends[i] and not ends[i - 1]
     out, begin = [], 0
-    for k, h in enumerate(hashes):
-        if k == len(lines) - 1 or ((hashes[k - 1] if k else 0) * 31 + h) % 4 == 0:
+    for k in range(len(lines)):
+        if ends[k] or k == len(lines) - 1:
             out.append(lines[begin : k + 1])
             begin = k + 1
     return out

@@ -1,8 +1,10 @@
 """Removal of repeated multi-line chunks whose bounds follow from the lines themselves.
 
 DataFrame functions only. A line's hash is the first 32 bits of its MD5; a rolling hash over the
-hashes of a line and the line before it ends a chunk wherever it is divisible by ``DIVISOR``, so that
-lines put in or left out move no bounds but those beside them.
+hashes of a line and the two before it ends a chunk wherever it is divisible by ``DIVISOR``, so that
+lines put in or left out move no bounds but those beside them. A run of equal lines is a chunk's end
+wherever it may be, before its first line too. Bounds are then thinned so that a chunk has two lines
+at least, and set so that it has ``MOST_LINES`` at most.
 """
 
 from __future__ import annotations
@@ -14,7 +16,9 @@ from pyspark.sql import functions as F
 
 from ._stage import Stage
 
-DIVISOR, FACTOR, MIN_LINES = 4, 31, 2
+DIVISOR, FACTOR, MIN_LINES, MOST_LINES = 5, 31, 2, 32
+#: A chunk of a thousandth of all chunks is looked up without a shuffle; there are a thousand at most.
+HOT_SHARE = 1000
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -27,8 +31,14 @@ def chunks(text: Column) -> Column:
 
     def bounds(lines: Column) -> Column:
         hashes = F.transform(lines, lambda x: F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long"))
-        rolled = lambda h, i: F.coalesce(F.get(h, i - 1), F.lit(0)) * FACTOR + F.get(h, i)
-        return _let(hashes, lambda h: F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda i: (i == F.size(h) - 1) | (rolled(h, i) % DIVISOR == 0)))
+        at = lambda h, i: F.coalesce(F.get(h, i), F.lit(0))
+        rolled = lambda h, i: (at(h, i - 2) * FACTOR + at(h, i - 1)) * FACTOR + at(h, i)
+        alike = lambda h, i: F.coalesce(F.get(h, i) == F.get(h, i + 1), F.lit(False))
+        ends = lambda h, i: F.when((rolled(h, i) % DIVISOR == 0) | alike(h, i) | alike(h, i + 1) | alike(h, i - 1), "1").otherwise("0")
+        # one mark a line: too long chunks are cut, and of marks side by side each second one goes
+        marks = lambda h: F.array_join(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: ends(h, i)), "")
+        thin = lambda m: F.regexp_replace(F.regexp_replace(F.regexp_replace(m, f"0{{{MOST_LINES}}}", "0" * (MOST_LINES - 1) + "1"), "^1", "0"), "11", "10")
+        return _let(F.split(thin(_let(hashes, marks)), ""), lambda m: F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == F.size(lines) - 1) | (F.get(m, i) == "1")))
 
     def cut(lines: Column, ends: Column) -> Column:
         def one(end: Column, k: Column) -> Column:
@@ -60,12 +70,17 @@ def remove_repeated_chunks(df: DataFrame, text: str = "text", doc_id: str = "doc
     stage = Stage(df.sparkSession, "chunks")
     base = df.select(*_keys(df, text, doc_id), F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
     pieces = base.select("k1", "k2", "id", F.explode(chunks(F.col("t"))).alias("c")).where(f"c.worded >= {MIN_LINES}")
-    found = pieces.select("k1", "k2", "id", F.col("c.idx").alias("idx"), F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("d"))
+    found = stage.put(pieces.select("k1", "k2", "id", F.col("c.idx").alias("idx"), F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("d")), "found")
     # a minimum and a maximum tell whether a hash has two places, and combine before the shuffle
     where = F.struct(F.col("id").isNull().alias("z"), F.col("id").alias("id"), "k1", "k2", "idx")
-    repeated = found.groupBy("d").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("d", "first")
+    repeated = found.groupBy("d").agg(F.min(where).alias("first"), F.max(where).alias("last"), F.count("*").alias("n")).where("first <> last").select("d", "first", "n")
     repeated = stage.put(repeated, "repeated")
-    places = stage.put(found.join(repeated, "d").select("k1", "k2", "idx", "d", (where != F.col("first")).alias("again")).distinct(), "places")
+    # HOT_SHARE rows at most, whatever the table holds
+    hot = F.broadcast(repeated.where(F.col("n") * HOT_SHARE >= found.count()).select("d", F.col("first").alias("hot")))
+    told = stage.put(found.join(hot, "d", "left"), "told")
+    again = lambda first: (where != F.col(first)).alias("again")
+    cold = told.where("hot is null").join(repeated, "d").select("k1", "k2", "idx", "d", again("first"))
+    places = stage.put(told.where("hot is not null").select("k1", "k2", "idx", "d", again("hot")).unionAll(cold).distinct(), "places")
 
     # the bytes of all places of a hash: alike if the smallest are the largest
     wanted = places.groupBy("k1", "k2").agg(F.collect_set("idx").alias("idxs"))
@@ -74,7 +89,7 @@ def remove_repeated_chunks(df: DataFrame, text: str = "text", doc_id: str = "doc
     alike = stage.put(bodies.groupBy("d").agg(F.min("body").alias("x"), F.max("body").alias("y")).where("x = y").select("d"), "alike")
     gone = places.where("again").join(alike, "d").groupBy("k1", "k2").agg(F.collect_set("idx").alias("gone"))
     gone = stage.put(gone, "gone")
-    stage.drop("repeated", "places", "alike")
+    stage.drop("found", "told", "repeated", "places", "alike")
 
     names = [c for c in df.columns if c not in ("n_lines", "n_lines_removed")]
     keyed = df.select(*_keys(df, text, doc_id), F.struct(*[F.col(f"`{c}`") for c in names if c != text]).alias("row"), F.col(text).cast("string").alias("t"))

@@ -72,7 +72,7 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = tokenizer_path(PIECES)
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    both = pieces.decode(pieces.encode(docs, path), path)
+    both = pieces.encode(docs, path, decoded="decoded")
     return both.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
@@ -131,7 +131,10 @@ ORACLES: dict[str, str] = {
     "op10_line_dedup": r"""
         WITH docs AS (SELECT row_number() OVER () AS r, doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
         hashed AS (SELECT *, list_transform(ls, lambda x: ('0x' || substr(md5(x), 1, 8))::BIGINT) AS h FROM docs),
-        ends AS (SELECT *, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR (coalesce(h[i - 1], 0) * 31 * (i > 1)::INT + h[i]) % 4 = 0) AS e FROM hashed),
+        marked_lines AS (SELECT *, array_to_string(list_transform(range(1, len(h) + 1), lambda i: CASE WHEN h[i] = h[i + 1] OR h[i + 1] = h[i + 2] OR (i > 1 AND h[i - 1] = h[i])
+            OR ((CASE WHEN i > 2 THEN h[i - 2] ELSE 0 END * 31 + CASE WHEN i > 1 THEN h[i - 1] ELSE 0 END) * 31 + h[i]) % 5 = 0 THEN '1' ELSE '0' END), '') AS m FROM hashed),
+        thinned AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(m, '0{32}', repeat('0', 31) || '1', 'g'), '^1', '0'), '11', '10', 'g') AS m) FROM marked_lines),
+        ends AS (SELECT *, list_filter(range(1, len(h) + 1), lambda i: i = len(h) OR m[i] = '1') AS e FROM thinned),
         parts AS (SELECT r, doc_id, k, array_to_string(ls[coalesce(e[k - 1] * (k > 1)::INT, 0) + 1:e[k]], chr(10)) AS body,
             e[k] - coalesce(e[k - 1] * (k > 1)::INT, 0) AS n,
             len(list_filter(ls[coalesce(e[k - 1] * (k > 1)::INT, 0) + 1:e[k]], lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS worded
