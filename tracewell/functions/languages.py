@@ -10,6 +10,9 @@ from . import patterns as P
 #: Languages that are analysed line by line.
 LINE_LANGUAGES = ("sql", "shell", "perl", "groovy")
 
+#: Languages whose lines can't be judged for themselves.
+TREE_LANGUAGES = ("java", "jsp", "c", "proc", "python", "javascript", "typescript", "tsx", "angular", "angular_inline")
+
 
 def _lookup(table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -76,9 +79,12 @@ def classify(language: str, line: Column, dialect: str = "bourne") -> Column:
 
 
 def classify_line(language: Column, dialect: Column, line: Column) -> Column:
-    """The same for a column of languages; one that isn't known is taken for a Bourne shell."""
+    """The same for a column of languages; one that isn't known is taken for a Bourne shell.
+
+    Languages that need a syntax tree have no class here: other, with low confidence.
+    """
     fixed = lambda category, confidence: F.struct(F.lit(category).alias("category"), F.lit(confidence).alias("confidence"))
-    out = F.when(language == "html", fixed(P.OTHER, "high"))
+    out = F.when(language == "html", fixed(P.OTHER, "high")).when(language.isin(*TREE_LANGUAGES), fixed(P.OTHER, "low"))
     for name in ("sql", "perl", "groovy"):
         out = out.when(language == name, classify(name, line))
     return out.when((language == "shell") & (dialect == "cshell"), classify("shell", line, "cshell")).otherwise(classify("shell", line))
@@ -146,4 +152,4 @@ def is_stop(language: Column, line: Column) -> Column:
     out = F.when(language == "sql", one("sql"))
     for name in ("perl", "groovy"):
         out = out.when(language == name, one(name))
-    return out.otherwise(one("shell"))
+    return out.when(language.isin(*TREE_LANGUAGES, "html", "angular"), F.lit(None).cast("boolean")).otherwise(one("shell"))

@@ -24,3 +24,13 @@ def detail(rows: DataFrame, limit: int = 1000) -> DataFrame:
     over = summary(rows.where(~free)).where(F.col("n") > limit)
     more = over.select("category", F.concat(F.lit("(... "), F.col("n") - limit, F.lit(" more, "), "n", F.lit(" total)")).alias("message"), F.lit(None).cast("string").alias("seq"), F.lit(True).alias("rest"))
     return short.select("category", "message", F.col("seq").cast("string").alias("seq"), F.lit(False).alias("rest")).unionByName(more)
+
+
+def render(rows: DataFrame, limit: int = 1000) -> str:
+    """The counts by category, then the messages; the rows listed are bounded by ``limit`` but for exempt categories."""
+    counts = sorted((r["category"], r["n"]) for r in summary(rows).collect())
+    lines = ["# summary", *(f"{c}\t{n}" for c, n in counts), "# detail"]
+    listed = detail(rows, limit).withColumn("place", F.col("seq").cast("long"))
+    for r in listed.orderBy("category", "rest", "place").toLocalIterator():
+        lines.append(f"{r['category']}\t{r['message']}")
+    return "\n".join(lines) + "\n"

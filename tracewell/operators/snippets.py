@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.languages import is_stop
 from ..functions.text import sanitize
 
 # --- fixed values: limits and marks of a snippet
@@ -20,17 +19,6 @@ def physical_lines(text: Column) -> Column:
     return F.when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
-def stop_span(lines: Column, hit: Column, language: Column) -> Column:
-    """(first, last) index of the lines that go with line ``hit``: up to a stop on either side, that one included."""
-    last = F.size(lines) - 1
-    low = F.greatest(F.lit(0), hit - (MAX_LINES - 1))
-    stops = lambda a, b: F.filter(F.when(a <= b, F.sequence(a, F.greatest(a, b))).otherwise(F.array().cast("array<int>")), lambda i: is_stop(language, F.get(lines, i)))
-    first = F.when(hit == 0, hit).otherwise(F.coalesce(F.array_max(stops(low, hit - 1)), low))
-    most = F.least(last, F.greatest(hit + 1, first + (MAX_LINES - 1)))
-    end = F.when(hit >= last, hit).otherwise(F.coalesce(F.array_min(stops(hit + 1, most)), most))
-    return F.struct(first.cast("int").alias("first"), end.cast("int").alias("last"))
-
-
 def _escaped(line: str) -> str:
     return line.replace(SEPARATOR, " \\\\n ")
 
@@ -63,13 +51,27 @@ def clamped(lines: pd.Series, hit: pd.Series) -> pd.Series:
     return pd.Series([clamp(list(x), int(h)) if x is not None and 0 <= h < len(x) else "" for x, h in zip(lines, hit)])
 
 
-def snippet(lines: Column, hit: Column, span: Column) -> Column:
-    """The cell for a hit (index from 0) and a span that is widened to hold it; empty past the end."""
-    first, last = F.greatest(F.lit(0), F.least(span["first"], hit)), F.least(F.size(lines) - 1, F.greatest(span["last"], hit))
-    body = F.transform(F.slice(lines, first + 1, F.greatest(last - first + 1, F.lit(1))), sanitize)
-    return F.when((hit >= 0) & (hit < F.size(lines)), clamped(body, (hit - first).cast("int"))).otherwise("")
-
-
-def with_stop_spans(hits: DataFrame) -> DataFrame:
-    """``hits`` (lines, hit, language) with the column span."""
-    return hits.withColumn("span", stop_span(F.col("lines"), F.col("hit"), F.col("language")))
+def near_lines(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """(relpath, hit, language, first, last, near) of ``hits`` (relpath, lineno); line numbers from 1.
+
+    ``lines``: relpath, language, lineno, line, stop (null where the language has no stops). A hit meets
+    only the lines that its snippet may have, so the work grows with the hits and not with their files.
+    """
+    reach = MAX_LINES - 1
+    asked = hits.where(F.col("lineno").between(1, (1 << 31) - 1)).select("relpath", F.col("lineno").alias("hit")).distinct()
+    asked = asked.select("relpath", "hit", F.explode(F.sequence(F.greatest(F.lit(1), F.col("hit") - reach), F.col("hit") + reach)).alias("lineno"))
+    met = asked.join(lines, ["relpath", "lineno"]).groupBy("relpath", "hit").agg(F.array_sort(F.collect_list(F.struct("lineno", "line", "stop"))).alias("near"), F.max("language").alias("language"))
+    hit, numbers = F.col("hit"), lambda keep: F.transform(F.filter("near", keep), lambda x: x["lineno"])
+    above, last = numbers(lambda x: x["lineno"] < hit), F.array_max(F.transform("near", lambda x: x["lineno"]))
+    first = F.coalesce(F.array_max(numbers(lambda x: (x["lineno"] < hit) & x["stop"])), F.array_min(above), hit)
+    met = met.where(F.exists("near", lambda x: x["lineno"] == hit)).withColumn("first", first).withColumn("most", F.least(last, F.greatest(hit + 1, F.col("first") + reach)))
+    end = F.when(hit >= last, hit).otherwise(F.coalesce(F.array_min(numbers(lambda x: (x["lineno"] > hit) & (x["lineno"] <= F.col("most")) & x["stop"])), F.col("most")))
+    whole = F.exists("near", lambda x: x["stop"].isNotNull())
+    return met.select("relpath", "hit", "language", F.when(whole, F.col("first")).otherwise(hit).alias("first"), F.when(whole, end).otherwise(hit).alias("last"), "near")
+
+
+def snippets_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
+    """(relpath, lineno, snippet) of the places of ``hits``; none for places past a file's end."""
+    near = near_lines(hits, lines)
+    body = F.transform(F.filter("near", lambda x: (x["lineno"] >= F.col("first")) & (x["lineno"] <= F.col("last"))), lambda x: sanitize(x["line"]))
+    return near.select("relpath", F.col("hit").alias("lineno"), clamped(body, (F.col("hit") - F.col("first")).cast("int")).alias("snippet"))

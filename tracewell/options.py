@@ -1,4 +1,4 @@
-"""Options of a run; the defaults stand here only."""
+"""What a run can be told, with checks of the values before anything is read."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class Options:
+    # --- fixed values: the defaults
     max_depth: int = 10
     min_specificity: int = 2
     stoplist: Path | None = None
@@ -44,7 +45,7 @@ class Options:
     def problems(self) -> list[str]:
         """What is wrong with the values; nothing is read or written before this is empty."""
         out = []
-        for name, least in (("max_depth", 0), ("min_specificity", 1), ("max_file_bytes", 1), ("max_symbols", 1), ("max_paths", 1), ("max_rows_per_part", 1), ("diagnostics_detail_limit", 0), ("memory_limit_mb", 1)):
+        for name, least in (("max_depth", 0), ("min_specificity", 0), ("max_file_bytes", 0), ("max_symbols", 1), ("max_paths", 1), ("max_rows_per_part", 1), ("diagnostics_detail_limit", 0), ("memory_limit_mb", 0)):
             value = getattr(self, name)
             if value is not None and value < least:
                 out.append(f"--{name.replace('_', '-')} must be {least} or more")
@@ -60,6 +61,15 @@ class Options:
         return out
 
 
+def folder_problems(input_dir: Path, output_dir: Path, source_root: Path) -> list[str]:
+    """What is wrong with the folders of a run: results must not land among what they come from."""
+    out = [f"{name} is no folder: {path}" for name, path in (("--input", input_dir), ("--source-root", source_root)) if not Path(path).is_dir()]
+    for name, path in (("--input", input_dir), ("--source-root", source_root)):
+        if Path(output_dir).resolve() == Path(path).resolve():
+            out.append(f"--output must not be the folder of {name}")
+    return out
+
+
 def parse_lang_map(text: str) -> dict[str, str]:
     """``.ext=language,...``; extensions get their dot and lower case."""
     out = {}

@@ -88,7 +88,7 @@ def _hits(spark, sf_dir):
     return code(spark, sf_dir).select(F.concat("relpath", F.when(F.col("lineno") % 5 == 0, " ").otherwise(F.concat(F.lit(":"), "lineno", F.lit(":"))), "line").alias("hit"))
 
 
-@query(f"SELECT regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 1) AS path, regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 2)::INT AS lineno, regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 3) AS content FROM ({_HITS_SQL}) WHERE regexp_matches(hit, '^(.*?):([0-9]+):(.*)$')")
+@query(f"SELECT regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 1) AS path, regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 2)::BIGINT AS lineno, regexp_extract(hit, '^(.*?):([0-9]+):(.*)$', 3) AS content FROM ({_HITS_SQL}) WHERE regexp_matches(hit, '^(.*?):([0-9]+):(.*)$')")
 def parse_grep_line(spark, sf_dir):
     from .sources.grep import parse
 
@@ -536,26 +536,32 @@ def _span_sql(language: str) -> str:
         SELECT b.relpath, b.i::INT AS hit, b.a::INT AS first, (CASE WHEN b.i >= b.n - 1 THEN b.i ELSE coalesce(min(d.i), b.most) END)::INT AS last FROM b LEFT JOIN s d ON d.relpath = b.relpath AND d.stop AND d.i > b.i AND d.i <= b.most GROUP BY b.relpath, b.i, b.a, b.n, b.most"""
 
 
+def _file_lines(spark, sf_dir, language: str) -> DataFrame:
+    """The language's lines, numbered from 1 in each file, and which ones are stops."""
+    place = F.row_number().over(Window.partitionBy("relpath").orderBy("lineno"))
+    return code(spark, sf_dir, language).select("relpath", "language", place.alias("lineno"), "line", L.is_stop(F.lit(language), F.col("line")).alias("stop"))
+
+
 def _spans(spark, sf_dir, language: str) -> DataFrame:
-    files = code(spark, sf_dir, language).groupBy("relpath").agg(F.transform(F.array_sort(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]).alias("lines"))
-    hits = files.select("relpath", "lines", F.explode(F.sequence(F.lit(0), F.size("lines") - 1)).alias("hit"), F.lit(language).alias("language"))
-    return snippets.with_stop_spans(hits)
+    lines = _file_lines(spark, sf_dir, language)
+    near = snippets.near_lines(lines.select("relpath", "lineno"), lines)
+    return near.select("relpath", (F.col("hit") - 1).alias("hit"), (F.col("first") - 1).alias("first"), (F.col("last") - 1).alias("last"))
 
 
 @query(_span_sql("sql"))
 def snippet_span_sql(spark, sf_dir):
-    return _spans(spark, sf_dir, "sql").select("relpath", "hit", "span.first", "span.last")
+    return _spans(spark, sf_dir, "sql")
 
 
 @query(_span_sql("shell"))
 def snippet_span_shell(spark, sf_dir):
-    return _spans(spark, sf_dir, "shell").select("relpath", "hit", "span.first", "span.last")
+    return _spans(spark, sf_dir, "shell")
 
 
 @query()
 def snippet_clamp(spark, sf_dir):
-    spans = _spans(spark, sf_dir, "sql")
-    return spans.select("relpath", "hit", snippets.snippet(F.col("lines"), F.col("hit"), F.col("span")).alias("snippet"))
+    lines = _file_lines(spark, sf_dir, "sql")
+    return snippets.snippets_of(lines.select("relpath", "lineno"), lines).select("relpath", (F.col("lineno") - 1).alias("hit"), "snippet")
 
 
 @query(f"SELECT relpath, sha256(string_agg(line, chr(10) ORDER BY lineno)) AS sha256 FROM ({_CODE_SQL}) GROUP BY relpath")

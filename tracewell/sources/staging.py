@@ -22,3 +22,9 @@ class Tables:
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def drop(self) -> None:
+        """Remove all of them; only once nothing reads them any more."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(self.root)
+        path.getFileSystem(conf).delete(path, True)

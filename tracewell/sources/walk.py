@@ -7,6 +7,7 @@ import re
 import stat
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.text import glob_regex
@@ -38,21 +39,26 @@ def walk(root: str | Path, options: Options) -> tuple[list[tuple], list[tuple[st
     while todo:
         folder = todo.pop()
         try:
-            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: e.name)
+            entries = sorted(os.scandir(os.path.join(root, folder)), key=lambda e: os.fsencode(e.name))
         except OSError:
             notes.append(("walk_unreadable", shown(folder)))
             continue
+        below = []
         for entry in entries:
             relpath = f"{folder}/{entry.name}" if folder else entry.name
-            if entry.is_symlink() and not options.follow_symlinks:
+            if entry.is_dir():
+                if not entry.is_symlink() or options.follow_symlinks:
+                    below.append(relpath)
+            elif entry.is_symlink() and not options.follow_symlinks:
                 notes.append(("symlink_skipped", shown(relpath)))
-            elif entry.is_dir():
-                real = os.path.realpath(entry.path)
-                if real not in entered:
-                    entered.add(real)
-                    todo.append(relpath)
             else:
                 found.append(relpath)
+        todo += below[::-1]
+        # a folder is entered once, by the first of its paths in this order
+        while todo and (real := os.path.realpath(os.path.join(root, todo[-1]))) in entered:
+            todo.pop()
+        if todo:
+            entered.add(real)
     out, seen = [], {}
     for relpath in sorted(found, key=os.fsencode):
         text, path = shown(relpath), os.path.join(root, relpath)
@@ -86,6 +92,31 @@ def walk(root: str | Path, options: Options) -> tuple[list[tuple], list[tuple[st
     return out, notes
 
 
+def read_named(paths: DataFrame, root: str | Path) -> DataFrame:
+    """(relpath, size, kind, content) of the named files (relpath, path) that lie below ``root``, whatever the walk leaves out."""
+    root = os.fsencode(os.path.realpath(root))
+
+    def load(batches):
+        for batch in batches:
+            rows = []
+            for relpath, path in zip(batch["relpath"], batch["path"]):
+                path = bytes(path)
+                if not path or path.startswith(b"/") or b"\x00" in path or b".." in path.split(b"/"):
+                    continue
+                whole = os.path.join(root, path)
+                try:
+                    inside = os.path.commonpath([root, os.path.realpath(whole)]) == root
+                    if inside and os.path.isfile(whole):
+                        with open(whole, "rb") as f:
+                            content = f.read()
+                        rows.append((relpath, len(content), kind_of(content[:HEAD]), content))
+                except OSError:
+                    continue
+            yield pd.DataFrame(rows, columns=["relpath", "size", "kind", "content"])
+
+    return paths.select("relpath", "path").mapInPandas(load, "relpath string, size long, kind string, content binary")
+
+
 def read(spark: SparkSession, files: list[tuple], partitions: int | None = None) -> DataFrame:
     """(relpath, size, kind, content) with the bytes read by the executors."""
     rows = spark.createDataFrame([(r, bytearray(p), s, real, k) for r, p, s, real, k in files], FILES)
