@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import languages as L
 from .functions import text as X
+from .functions import trees
 from .operators import diagnostics, index, snippets
 from .options import Options, folder_problems
 from .plans import closure as C
@@ -48,17 +50,41 @@ def load(spark: SparkSession, root: str | Path, hits: DataFrame, options: Option
     return tables.put(files.withColumn("odd_shebang", F.coalesce(odd, F.lit(False))), "files"), notes
 
 
-def _names(lines: DataFrame, options: Options) -> DataFrame:
+CONSTRUCTS = "relpath string, language string, lineno int, category string, confidence string, first int, last int, names array<struct<symbol: string, kind: string>>"
+
+
+def constructs(files: DataFrame) -> DataFrame:
+    """What the lines of files (relpath, language, text) stand in, for languages that are read as a whole."""
+
+    def run(batches):
+        for batch in batches:
+            for relpath, language, text in zip(*(batch.column(c).to_pylist() for c in ("relpath", "language", "text"))):
+                rows = [(relpath, language, *r[:5], [{"symbol": a, "kind": b} for a, b in r[5]]) for r in trees.describe(language, text or "")]
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema)
+
+    names = ["relpath", "language", "lineno", "category", "confidence", "first", "last", "names"]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("symbol", pa.string()), ("kind", pa.string())]))]
+    schema = pa.schema(list(zip(names, kinds)))
+    whole = files.where(F.col("language").isin(*trees.TREES)).select("relpath", "language", "text")
+    return whole.mapInArrow(run, CONSTRUCTS)
+
+
+def _names(lines: DataFrame, made: DataFrame, options: Options) -> DataFrame:
     """(relpath, lineno, symbol, kind, ord, why): the names that lines bind, and why one isn't followed."""
     bound = lines.withColumn("b", L.bound_names_of(F.col("language"), F.col("dialect"), F.col("line")))
     of = lambda group, kind: F.transform(f"b.{group}", lambda x: F.struct(x.alias("symbol"), F.lit(kind).alias("kind")))
     each = F.concat(of("constants", "constant"), of("vars", "var"))
-    found = bound.select("relpath", "lineno", "language", F.posexplode(each).alias("ord", "x")).select("relpath", "lineno", "x.symbol", "x.kind", "ord", "language")
+    found = bound.select("relpath", "lineno", "language", F.posexplode(each).alias("ord", "x")).unionByName(made.select("relpath", "lineno", "language", F.posexplode("names").alias("ord", "x")))
+    found = found.select("relpath", "lineno", "x.symbol", "x.kind", "ord", "language")
     return found.withColumn("why", L.rejection(F.col("symbol"), F.col("language"), options.min_specificity, options.stop_words())).drop("language")
 
 
-def _class(content: Column) -> Column:
-    return L.classify_line(F.col("language"), F.col("dialect"), content)
+def _classed(places: DataFrame, made: DataFrame, content: Column) -> DataFrame:
+    """``places`` with c: the class of the construct that the line stands in, or of the line itself."""
+    whole = made.select("relpath", F.col("lineno").cast("long").alias("lineno"), F.struct("category", "confidence").alias("whole"))
+    alone = L.classify_line(F.col("language"), F.col("dialect"), content)
+    past = F.struct(F.lit(trees.OTHER).alias("category"), F.lit("high").alias("confidence"))  # beyond the last line
+    return places.join(whole, ["relpath", "lineno"], "left").withColumn("c", F.coalesce("whole", F.when(F.col("language").isin(*trees.TREES), past).otherwise(alone))).drop("whole")
 
 
 def analyse(spark: SparkSession, hits: DataFrame, source_root: str | Path, options: Options, tables: Tables) -> Analysis:
@@ -70,19 +96,22 @@ def analyse(spark: SparkSession, hits: DataFrame, source_root: str | Path, optio
     good = hits.where("relpath is not null").join(meta, "relpath", "left")
     good = tables.put(good, "hits")
 
+    made = tables.put(constructs(files), "constructs")
+
     # direct uses: the class of what the hit says, at its place in the file
-    here = good.where("language is not null").withColumn("c", _class(F.col("content")))
+    here = _classed(good.where("language is not null"), made, F.col("content"))
     direct = here.select("keyword", "language", "dialect", "relpath", "lineno", F.lit("direct").alias("ref_kind"), "c.category", F.lit("").alias("via_symbol"), X.hop(F.col("keyword"), F.col("relpath"), F.col("lineno")).alias("chain"), "encoding", "replaced", "c.confidence")
 
     # indirect uses: names that those lines bind, followed through the tree
-    names = tables.put(_names(lines, options), "names")
+    names = tables.put(_names(lines, made, options), "names")
     seeds = here.select("keyword", "ord", "relpath", F.col("lineno").try_cast("int").alias("lineno")).where("lineno is not null")
     searched = lines.where("walked")
     found = C.follow(seeds, searched, index.token_index(searched), names.where("why is null"), options.max_depth, options.max_symbols, options.items)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
     chains = tables.put(P.chains(P.simple_paths(C.edges(found), nodes, options.max_depth), options.max_paths), "chains")
     targets = chains.select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain").join(seeds.select("keyword", "relpath", "lineno").distinct(), ["keyword", "relpath", "lineno"], "left_anti")
-    targets = targets.join(C.kinds(found), ["keyword", "symbol"]).join(lines.select("relpath", "lineno", "line"), ["relpath", "lineno"]).join(meta, "relpath").withColumn("c", _class(F.col("line")))
+    targets = targets.join(C.kinds(found), ["keyword", "symbol"]).join(lines.select("relpath", "lineno", "line"), ["relpath", "lineno"]).join(meta, "relpath")
+    targets = _classed(targets, made, F.col("line"))
     indirect = targets.select("keyword", "language", "dialect", "relpath", F.col("lineno").cast("long").alias("lineno"), F.concat(F.lit("indirect:"), "kind").alias("ref_kind"), "c.category", F.col("symbol").alias("via_symbol"), "chain", "encoding", "replaced", F.when(F.col("kind").isin("getter", "setter"), "low").otherwise(F.col("c.confidence")).alias("confidence"))
     uses = tables.put(direct.unionByName(indirect), "uses")
 
@@ -90,7 +119,8 @@ def analyse(spark: SparkSession, hits: DataFrame, source_root: str | Path, optio
     ends = F.col("text").endswith("\n")
     last = files.select("relpath", F.when(ends, F.size(F.split("text", "\n", -1)) - 1).otherwise(F.size(F.split("text", "\n", -1))).alias("n"))
     physical = lines.join(last, "relpath").where("lineno <= n").select("relpath", "language", F.col("lineno").cast("long").alias("lineno"), "line", L.is_stop(F.col("language"), F.col("line")).alias("stop"))
-    cells = snippets.snippets_of(uses, physical)
+    spans = made.select("relpath", F.col("lineno").cast("long").alias("lineno"), (F.col("first") + 1).cast("long").alias("from"), (F.col("last") + 1).cast("long").alias("to"))
+    cells = snippets.snippets_of(uses, physical, spans)
     root = str(Path(source_root).resolve())
     rows = uses.join(cells, ["relpath", "lineno"], "left").select(
         "keyword", "language", F.concat(F.lit(root + "/"), "relpath").alias("file"), "lineno", "ref_kind", "category", F.lit("").alias("category_sub"), X.usage_summary(F.col("category"), F.col("language")).alias("usage_summary"),

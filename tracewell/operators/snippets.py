@@ -23,12 +23,15 @@ def _escaped(line: str) -> str:
     return line.replace(SEPARATOR, " \\\\n ")
 
 
-def clamp(lines: list[str], hit: int, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS) -> str:
-    """Lines around ``hit`` in one cell, as many as fit, taken in turn from above and below."""
+def clamp(lines: list[str], hit: int, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, before: int = 0, after: int = 0) -> str:
+    """Lines around ``hit`` in one cell, as many as fit, taken in turn from above and below.
+
+    ``before`` and ``after`` lines of the span are not among ``lines``: they are too far from the hit.
+    """
 
     def cell(first: int, last: int) -> str:
         body = SEPARATOR.join([_escaped(own if k == hit else lines[k]) for k in range(first, last + 1)])
-        above, below = first, len(lines) - 1 - last
+        above, below = before + first, after + len(lines) - 1 - last
         return (ABOVE.format(above) if above else "") + body + (BELOW.format(below) if below else "")
 
     own = lines[hit]
@@ -47,8 +50,8 @@ def clamp(lines: list[str], hit: int, max_lines: int = MAX_LINES, max_chars: int
 
 
 @F.pandas_udf(T.StringType())
-def clamped(lines: pd.Series, hit: pd.Series) -> pd.Series:
-    return pd.Series([clamp(list(x), int(h)) if x is not None and 0 <= h < len(x) else "" for x, h in zip(lines, hit)])
+def clamped(lines: pd.Series, hit: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([clamp(list(x), int(h), before=int(a), after=int(b)) if x is not None and 0 <= h < len(x) else "" for x, h, a, b in zip(lines, hit, before, after)])
 
 
 def near_lines(hits: DataFrame, lines: DataFrame) -> DataFrame:
@@ -70,8 +73,17 @@ def near_lines(hits: DataFrame, lines: DataFrame) -> DataFrame:
     return met.select("relpath", "hit", "language", F.when(whole, F.col("first")).otherwise(hit).alias("first"), F.when(whole, end).otherwise(hit).alias("last"), "near")
 
 
-def snippets_of(hits: DataFrame, lines: DataFrame) -> DataFrame:
-    """(relpath, lineno, snippet) of the places of ``hits``; none for places past a file's end."""
+def snippets_of(hits: DataFrame, lines: DataFrame, spans: DataFrame | None = None) -> DataFrame:
+    """(relpath, lineno, snippet) of the places of ``hits``; none for places past a file's end.
+
+    ``spans``: relpath, lineno, from, to, where a line's statement is known.
+    """
     near = near_lines(hits, lines)
-    body = F.transform(F.filter("near", lambda x: (x["lineno"] >= F.col("first")) & (x["lineno"] <= F.col("last"))), lambda x: sanitize(x["line"]))
-    return near.select("relpath", F.col("hit").alias("lineno"), clamped(body, (F.col("hit") - F.col("first")).cast("int")).alias("snippet"))
+    if spans is not None:
+        near = near.join(spans.withColumnRenamed("lineno", "hit"), ["relpath", "hit"], "left")
+        near = near.withColumns({"first": F.least("hit", F.coalesce("from", "first")), "last": F.greatest("hit", F.coalesce("to", "last"))})
+    has = F.transform("near", lambda x: x["lineno"])
+    first, last = F.greatest("first", F.array_min(has)), F.least("last", F.array_max(has))
+    body = F.transform(F.filter("near", lambda x: (x["lineno"] >= F.col("a")) & (x["lineno"] <= F.col("b"))), lambda x: sanitize(x["line"]))
+    near = near.withColumn("a", first).withColumn("b", last)
+    return near.select("relpath", F.col("hit").alias("lineno"), clamped(body, (F.col("hit") - F.col("a")).cast("int"), (F.col("a") - F.col("first")).cast("int"), (F.col("last") - F.col("b")).cast("int")).alias("snippet"))
