@@ -568,3 +568,6 @@ def snippet_clamp(spark, sf_dir):
 def content_hash(spark, sf_dir):
     rows = code(spark, sf_dir).groupBy("relpath").agg(F.array_sort(F.collect_list(F.struct("lineno", "line"))).alias("l"))
     return rows.select("relpath", F.sha2(F.array_join(F.transform("l", lambda x: x["line"]), "\n").cast("binary"), 256).alias("sha256"))
+
+
+from . import construct_queries  # noqa: E402, F401  (its queries join these)
