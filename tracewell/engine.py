@@ -108,7 +108,7 @@ def analyse(spark: SparkSession, hits: DataFrame, source_root: str | Path, optio
     searched = lines.where("walked")
     found = C.follow(seeds, searched, index.token_index(searched), names.where("why is null"), options.max_depth, options.max_symbols, options.items)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
-    chains = tables.put(P.chains(P.simple_paths(C.edges(found), nodes, options.max_depth), options.max_paths), "chains")
+    chains = tables.put(P.first_chains(C.edges(found), nodes, options.max_depth, options.max_paths), "chains")
     targets = chains.select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain").join(seeds.select("keyword", "relpath", "lineno").distinct(), ["keyword", "relpath", "lineno"], "left_anti")
     targets = targets.join(C.kinds(found), ["keyword", "symbol"]).join(lines.select("relpath", "lineno", "line"), ["relpath", "lineno"]).join(meta, "relpath")
     targets = _classed(targets, made, F.col("line"))

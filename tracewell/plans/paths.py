@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,3 +45,76 @@ def chains(paths: DataFrame, max_paths: int = 1000) -> DataFrame:
     texts = first.select("keyword", "target", chain(F.col("path")).alias("chain")).distinct()
     ranked = texts.withColumn("r", F.row_number().over(each.orderBy("chain"))).withColumn("n", F.count("*").over(each))
     return ranked.where(F.col("r") <= max_paths).select("keyword", "target", "chain", (F.col("n") > max_paths).alias("capped"))
+
+
+#: Edges up to which every task has the whole graph; larger ones are joined round by round.
+SHARED_EDGES = 1_000_000
+
+
+def first_chains(edges: DataFrame, seeds: DataFrame, max_depth: int = 10, max_paths: int = 1000) -> DataFrame:
+    """``chains`` of ``simple_paths``, without the paths that the cap leaves out.
+
+    A search of each target on its own stops at ``max_paths`` + 1 paths. It goes from the seeds in order
+    and enters only what still reaches the target in time.
+    """
+    spark = edges.sparkSession
+    tables = Tables(spark, "paths")
+    edges = tables.put(edges, "edges")
+    if edges.count() > SHARED_EDGES:
+        return chains(simple_paths(edges, seeds, max_depth), max_paths)
+    # SHARED_EDGES rows at most, and the seeds among their parents
+    rows = edges.select("keyword", "parent", "child").distinct().collect()
+    starts = seeds.select("keyword", F.col("node").alias("parent")).distinct().join(edges.select("keyword", "parent").distinct(), ["keyword", "parent"], "left_semi").collect()
+    shared = spark.sparkContext.broadcast((sorted((r["keyword"], tuple(r["parent"]), tuple(r["child"])) for r in rows), sorted((r["keyword"], tuple(r["parent"])) for r in starts)))
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        after, before, firsts = {}, {}, {}
+        for keyword, parent, child in shared.value[0]:
+            after.setdefault((keyword, parent), []).append(child)
+            before.setdefault((keyword, child), []).append(parent)
+        for keyword, node in shared.value[1]:
+            firsts.setdefault(keyword, []).append(node)
+        for batch in batches:
+            out = []
+            for keyword, symbol, relpath, lineno in zip(batch["keyword"], batch["symbol"], batch["relpath"], batch["lineno"]):
+                target = (symbol, relpath, int(lineno))
+                found = sorted(set(_chains_to(target, keyword, after, before, firsts.get(keyword, []), max_depth, max_paths + 1)))
+                out += [(keyword, symbol, relpath, lineno, c, len(found) > max_paths) for c in found[:max_paths]]
+            yield pd.DataFrame(out, columns=["keyword", "symbol", "relpath", "lineno", "chain", "capped"])
+
+    targets = edges.select("keyword", "child.*").distinct()
+    found = targets.mapInPandas(search, "keyword string, symbol string, relpath string, lineno int, chain string, capped boolean")
+    return found.select("keyword", F.struct("symbol", "relpath", "lineno").alias("target"), "chain", "capped")
+
+
+def _chains_to(target: tuple, keyword: str, after: dict, before: dict, seeds: list, max_depth: int, most: int) -> Iterator[str]:
+    """The first ``most`` chains from seeds to the target, in the order of their occurrences."""
+    left, todo = {target: 0}, deque([target])  # least edges to the target
+    while todo:
+        node = todo.popleft()
+        if left[node] < max_depth:
+            for parent in before.get((keyword, node), ()):
+                if parent not in left:
+                    left[parent] = left[node] + 1
+                    todo.append(parent)
+    for seed in seeds:
+        if seed not in left or seed == target:
+            continue
+        path, names, inside, open_ = [seed], [None], {seed}, [iter(after.get((keyword, seed), ()))]
+        while open_:
+            child = next(open_[-1], None)
+            if child is None:
+                open_.pop()
+                inside.discard(path.pop())
+                names.pop()
+            elif child in left and len(path) + left[child] <= max_depth and child not in inside and child[0] not in names:
+                if child == target:
+                    yield " -> ".join(f"{s}@{r}:{n}" for s, r, n in [*path, child])
+                    most -= 1
+                    if not most:
+                        return
+                else:
+                    path.append(child)
+                    names.append(child[0])
+                    inside.add(child)
+                    open_.append(iter(after.get((keyword, child), ())))

@@ -415,7 +415,9 @@ def paths_to_target(spark, sf_dir, deep=False):
 
 @query(f"{_PATHS_SQL}, few AS (SELECT *, row_number() OVER (PARTITION BY symbol, relpath, lineno ORDER BY chain) AS j, count(*) OVER (PARTITION BY symbol, relpath, lineno) > 1 AS capped FROM ranked WHERE k <= 2) SELECT symbol, relpath, lineno, chain, capped FROM few WHERE j <= 1")
 def paths_capped(spark, sf_dir, deep=False):
-    return P.chains(_paths(spark, sf_dir, deep), 1).select("target.symbol", "target.relpath", "target.lineno", "chain", "capped")
+    found, seeds = _follow(spark, sf_dir, deep)
+    nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
+    return P.first_chains(C.edges(found), nodes, DEEP if deep else _DEPTH, 1).select("target.symbol", "target.relpath", "target.lineno", "chain", "capped")
 
 
 @query(f"{_CLOSURE_SQL} fin AS (SELECT 1) SELECT DISTINCT symbol, relpath, lineno FROM edges WHERE (relpath, lineno) NOT IN (SELECT (relpath, lineno) FROM g WHERE key <= 3)")
@@ -430,7 +432,7 @@ _INDIRECT_SQL = "SELECT 'KW' AS keyword, 'shell' AS language, relpath AS file, l
 def _indirect(spark, sf_dir, deep) -> DataFrame:
     found, seeds = _follow(spark, sf_dir, deep)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
-    chains = P.chains(P.simple_paths(C.edges(found), nodes, DEEP if deep else _DEPTH)).select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain")
+    chains = P.first_chains(C.edges(found), nodes, DEEP if deep else _DEPTH).select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain")
     chains = chains.join(seeds.select("relpath", "lineno"), ["relpath", "lineno"], "left_anti").join(C.kinds(found), ["keyword", "symbol"]).join(graph(spark, sf_dir).select("relpath", "lineno", "line"), ["relpath", "lineno"])
     c = L.classify("shell", F.col("line"))
     return chains.select("keyword", F.lit("shell").alias("language"), F.col("relpath").alias("file"), "lineno", F.concat(F.lit("indirect:"), "kind").alias("ref_kind"), c["category"].alias("category"), X.usage_summary(c["category"], F.lit("shell")).alias("usage_summary"), F.col("symbol").alias("via_symbol"), "chain", c["confidence"].alias("confidence"))
