@@ -28,6 +28,8 @@ from ._stage import Stage
 WIDTH, GRAM = 35, 8
 #: Runs that an index has at most before they are compacted.
 MOST_RUNS = 8
+#: What share of the occurrences makes an anchor hot, and how many parts its texts are dealt over.
+HOT_SHARE, HOT_PARTS = 1000, 64
 
 
 def _stretches(hashes: np.ndarray, first: np.ndarray, width: int, gram: int):
@@ -143,12 +145,12 @@ class FingerprintIndex:
             self.runs = self.runs[len(old) :]
 
     def repeated(self) -> DataFrame:
-        """The anchors that a merge join found in an earlier run, or that a batch has twice."""
+        """(anchor, n) that a merge join found in an earlier run, or that a batch has twice; n: its marked occurrences."""
         marked = None
         for name in self.runs:
-            run = self._read(name).where("again").select("anchor")
+            run = self._read(name).where("again").select("anchor", "n")
             marked = run if marked is None else marked.unionAll(run)
-        return marked.distinct()
+        return marked.groupBy("anchor").agg(F.sum("n").alias("n"))
 
 
 _STRETCH = "k1 long, k2 long, anchor long, whole long, start int, windows array<long>, body string"
@@ -170,7 +172,12 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     texts = _keyed(df, text, doc_id)
     for part in range(batches):
         index.add(texts.where(F.pmod("k2", F.lit(batches)) == part))
-    anchors = index.repeated()
+    anchors = stage.put(index.repeated(), "anchors")
+    # an anchor of a thousandth of all marked occurrences, a thousand anchors at most, is dealt over parts
+    total = anchors.agg(F.sum("n")).first()[0] or 0
+    anchors = anchors.select("anchor", F.when(F.col("n") * HOT_SHARE >= total, HOT_PARTS).otherwise(1).alias("parts"))
+    hot = F.broadcast(anchors.where("parts > 1"))
+    anchors = anchors.select("anchor", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
     def occurrences(batches_):
         for batch, data, off in blocks(batches_, "t"):
@@ -180,7 +187,8 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
             yield pa.RecordBatch.from_arrays([batch.column("k1").take(pa.array(of)), batch.column("k2").take(pa.array(of)), pa.array(signed(anchor))], ["k1", "k2", "anchor"])
 
     # which texts have a repeated anchor, and which ones
-    found = texts.mapInArrow(occurrences, "k1 long, k2 long, anchor long").join(anchors, "anchor")
+    found = texts.mapInArrow(occurrences, "k1 long, k2 long, anchor long").join(hot, "anchor", "left")
+    found = found.withColumn("part", F.coalesce(F.pmod(F.col("k1"), F.col("parts").cast("long")).cast("int"), F.lit(0))).join(anchors.hint("merge"), ["anchor", "part"])
     found = stage.put(found.groupBy("k1", "k2").agg(F.collect_set("anchor").alias("anchors")), "found")
 
     def stretches(batches_):
@@ -228,7 +236,7 @@ def remove_repeats(df: DataFrame, text: str = "text", doc_id: str = "doc_id", wi
     # at most 28 positions for each of a text's stretches, which is the size of the text
     starts = starts.select("k1", "k2", F.transform("at", lambda a: a + F.col("start")).alias("at")).groupBy("k1", "k2").agg(F.flatten(F.collect_list("at")).alias("repeats"))
     starts = stage.put(starts, "starts")
-    stage.drop("found", "stretches", "kinds", "mixed", "lone", "alike", "near", "shared", "marks")
+    stage.drop("anchors", "found", "stretches", "kinds", "mixed", "lone", "alike", "near", "shared", "marks")
     index.close()
 
     added = [("kept_text", T.StringType()), ("n_words", T.LongType()), ("n_removed", T.LongType())]
