@@ -22,7 +22,6 @@ ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KINDS = ("assign", "access", "hex", "format")
-_ASSIGN_HINT = re.compile(rb"[:=]")
 _HEX_HINT = re.compile(rb"[0-9a-f]{24,}")
 
 #: What may be a credential: long runs with a digit and a letter.
@@ -133,13 +132,15 @@ class Automaton:
                 self._fold(same, q)
 
     def score(self, string: bytes) -> float:
-        """Mean log2 probability of the symbols, the end included, with add-one smoothing."""
+        """Mean log2 probability of the symbols, the end included, with add-one smoothing of what a state has seen.
+
+        A string that leaves the automaton has none.
+        """
         at, total, size = 0, 0.0, len(self.symbols) + 1
         for c in string.translate(_CLASSES):
-            n = self._total(at) + size
-            total += math.log2((self.flow[at].get(c, 0) + 1) / n) if c in self.flow[at] else math.log2(1 / n) - 8
             if c not in self.next[at]:
                 return -math.inf
+            total += math.log2((self.flow[at].get(c, 0) + 1) / (self._total(at) + size))
             at = self.next[at][c]
         total += math.log2((self.ends[at] + 1) / (self._total(at) + size))
         return total / (len(string) + 1)
