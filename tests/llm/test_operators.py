@@ -153,6 +153,32 @@ def test_nearest(spark):
     assert sum(len(set(mine[q]) & set(exact[q])) for q in exact) >= 0.9 * 20 * len(exact)
 
 
+def test_nearest_of_small_and_awkward_tables(spark):
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string, score int")
+    search = lambda rows: nearest.search(make([(*r, "clash", 1) for r in rows]), F.col("vec_id") % 20 == 0).collect()
+    assert search([]) == [] and search([(0, None), (20, [0.0, 0.0])]) == []
+    few = sorted(search([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [1.0, 2.0]), (3, [1.0, 2.0]), (None, [9.0, 9.0])]), key=lambda r: r["rank"])
+    assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in few] == [(0, 1, 2, 5.0), (0, 2, 3, 5.0), (0, 3, 1, 4.0)]
+    # a repeated query counts once, its own rows are no candidates, repeated candidates stand for themselves
+    again = search([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (5, [3.0, 0.0]), (5, [3.0, 0.0])])
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in again) == [(1, 5, 3.0), (2, 5, 3.0)]
+
+
+def test_nearest_scores_visited_leaves_only():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16)) * 4
+    x = centres[rng.integers(40, size=8000)] + rng.normal(size=(8000, 16))
+    tree = nearest.grow(x[:4000], 32)
+    leaf = tree.assign(x)
+    shares, found = [], []
+    for q in range(0, 400, 10):
+        near = np.argsort(-(x @ x[q]))[:21]
+        mine = np.isin(leaf, tree.order(x[q], 6))
+        shares.append(mine.mean())
+        found.append(mine[near].mean())
+    assert np.mean(shares) < 0.3 and np.mean(found) >= 0.9
+
+
 def test_lm_scoring(docs, pairs):
     train = F.col("doc_id") % 4 != 0
     found = {r["doc_id"]: r for r in lm_scoring.score(docs, train, tokenizer_path(PIECES)).collect()}
@@ -216,6 +242,29 @@ def test_language_id(spark, docs):
     assert all(x == "und" for x in [r["lang_pred"] for r in language_id.predict(docs, language_id.fit(rows.where("false"))).collect()])
 
 
+def test_language_id_equals_plain_bayes(spark):
+    learned = [("aa", "ab ab ba é"), ("bb", "cd dc cd"), ("cc", "xyz zyx"), ("aa", "ab ba"), ("bb", "cd cd"), ("cc", "xyz xyz é"), ("aa", "abcd"), ("aa", ""), ("bb", "q")]
+    df = spark.createDataFrame([(k, t, lang) for k, (lang, t) in enumerate([*learned, ("aa", None), (None, "zz")])], "doc_id long, text string, lang string")
+    asked = ["ab", "cd xyz", "XYZ abcd zyx", "ab cd", "éé zyx", "q"]
+    found = {r["text"]: r for r in language_id.predict(spark.createDataFrame([(t,) for t in asked], "text string"), language_id.fit(df)).collect()}
+
+    def grams(text):
+        points = np.array([ord(c) for c in brute.lower(text)], np.uint32)
+        return [int(x) for bucket, n in language_id.ngrams(points, np.array([0, len(points)])) for x in bucket[: n[0]]]
+
+    counts, size = {lang: Counter() for lang in ("aa", "bb", "cc")}, Counter(lang for lang, _ in learned)
+    for lang, text in learned:
+        counts[lang].update(grams(text))
+    for text in asked:
+        logs, seen = {}, grams(text)
+        for lang, c in counts.items():
+            logs[lang] = sum(math.log((c[g] + 0.5) / (sum(c.values()) + 0.5 * language_id.BUCKETS)) for g in seen)
+        prior = {lang: math.log(n / len(learned)) for lang, n in size.items()}
+        best = max(logs, key=lambda lang: logs[lang] + prior[lang])
+        cut = {lang: math.exp(x * min(1, language_id.EVIDENCE / len(seen)) + prior[lang]) for lang, x in logs.items()}
+        assert found[text]["lang_pred"] == best and found[text]["lang_score"] == pytest.approx(cut[best] / sum(cut.values()), rel=1e-4)
+
+
 def test_language_id_lets_all_evidence_choose():
     # each n-gram speaks a little for the rare language, and the text is long
     weights = np.repeat(np.array([[-9.1, -9.0]], np.float32), language_id.BUCKETS, 0)
