@@ -20,14 +20,14 @@ def tree(tmp_path):
         "src/use.sh": "NEXT=$LIMIT\nexport LAST=$NEXT\n",
         "src/q.sql": "SELECT a\nFROM t\nWHERE x = LIMIT;\n",
         "src/build/gone.sh": "A=$LIMIT\n",
-        "src/odd": "#!/usr/bin/awk -f\nLIMIT = 1\n",
+        "src/odd": "#!/usr/bin/awk -f\nuse(LIMIT)\n",
     }
     for name, text in files.items():
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text(text)
     (tmp_path / "src/bin.dat").write_bytes(b"a\0b LIMIT")
     (tmp_path / "in").mkdir()
-    (tmp_path / "in/LIMIT.grep").write_bytes(b"conf/set.sh:1:LIMIT=9\r\nq.sql:3:WHERE x = LIMIT;\nno hit at all\nlost.sh:4:LIMIT\n../up.sh:1:x\nconf/set.sh:99999999999999999999:x\nodd:2:LIMIT = 1\n")
+    (tmp_path / "in/LIMIT.grep").write_bytes(b"conf/set.sh:1:LIMIT=9\r\nq.sql:3:WHERE x = LIMIT;\nno hit at all\nlost.sh:4:LIMIT\n../up.sh:1:x\nconf/set.sh:99999999999999999999:x\nodd:2:use(LIMIT)\n")
     (tmp_path / "in/NONE.grep").write_bytes(b"")
     return tmp_path
 
