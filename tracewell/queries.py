@@ -300,13 +300,6 @@ def encoding_probe(spark, sf_dir):
 # --- direct hits
 
 _ROUTED_SQL = ORACLES["classify_router"]
-_PICK_SQL = "lineno % 3 = 0"
-
-
-def _keyword_hits(spark, sf_dir) -> DataFrame:
-    picked = code(spark, sf_dir).where(_PICK_SQL).select("relpath", "lineno", F.col("line").alias("content"))
-    gone = picked.where("lineno = 3").select(F.concat(F.lit("gone/"), "relpath").alias("relpath"), "lineno", "content")
-    return picked.unionByName(gone).withColumn("keyword", F.lit("KW"))
 
 
 def _every_hit(spark, sf_dir) -> DataFrame:
@@ -327,26 +320,13 @@ def _missing(spark, sf_dir, hits: DataFrame) -> DataFrame:
     return hits.join(files, "relpath", "left_anti").select("relpath").distinct()
 
 
-@query(f"SELECT 'KW' AS keyword, language, relpath AS file, lineno, 'direct' AS ref_kind, category, category || ' (' || language || ')' AS usage_summary, 'KW@' || relpath || ':' || lineno AS chain, confidence FROM ({_ROUTED_SQL}) JOIN ({_CODE_SQL}) USING (relpath, lineno) WHERE {_PICK_SQL}")
-def direct_hits(spark, sf_dir):
-    return _direct(spark, sf_dir, _keyword_hits(spark, sf_dir))
-
-
-@query(f"SELECT DISTINCT 'gone/' || relpath AS relpath FROM ({_CODE_SQL}) WHERE lineno = 3")
-def missing_source(spark, sf_dir):
-    return _missing(spark, sf_dir, _keyword_hits(spark, sf_dir))
-
-
-# direct_hits and missing_source take every third line; these take all of them
-
-
 @query(f"SELECT 'KW' AS keyword, language, relpath AS file, lineno, 'direct' AS ref_kind, category, category || ' (' || language || ')' AS usage_summary, 'KW@' || relpath || ':' || lineno AS chain, confidence FROM ({_ROUTED_SQL}) JOIN ({_CODE_SQL}) USING (relpath, lineno)")
-def direct_hits_all(spark, sf_dir):
+def direct_hits(spark, sf_dir):
     return _direct(spark, sf_dir, _every_hit(spark, sf_dir))
 
 
 @query(f"SELECT DISTINCT 'gone/' || relpath AS relpath FROM ({_CODE_SQL})")
-def missing_source_all(spark, sf_dir):
+def missing_source(spark, sf_dir):
     return _missing(spark, sf_dir, _every_hit(spark, sf_dir))
 
 
@@ -358,123 +338,101 @@ def resume_pending(spark, sf_dir):
 
 # --- closure and paths
 
-_DEPTH = 4
+#: Depth of the operators' own default. Seeds are the lines whose key's square is at most the number of lines.
+_DEPTH = 10
+_SEED_SQL = "key * key <= (SELECT count(*) FROM customer)"
 _CLOSURE_SQL = f"""
     WITH RECURSIVE g AS (SELECT *, regexp_extract(line, '^(C[0-9]+)=', 1) AS bound FROM ({_GRAPH_SQL})),
     tok AS (SELECT DISTINCT relpath, lineno, bound, unnest(regexp_extract_all(line, '[A-Za-z0-9_]+')) AS token FROM g),
-    walk(symbol, hop) AS (SELECT bound, 1 FROM g WHERE key <= 3 UNION SELECT t.bound, w.hop + 1 FROM walk w JOIN tok t ON t.token = w.symbol WHERE w.hop < {_DEPTH} AND t.bound <> w.symbol),
+    walk(symbol, hop) AS (SELECT bound, 1 FROM g WHERE {_SEED_SQL} UNION SELECT t.bound, w.hop + 1 FROM walk w JOIN tok t ON t.token = w.symbol WHERE w.hop < {_DEPTH} AND t.bound <> w.symbol),
     reach AS (SELECT symbol, min(hop)::INT AS hop FROM walk GROUP BY symbol),
     occ AS (SELECT r.symbol, t.relpath, t.lineno, r.hop, t.bound FROM reach r JOIN tok t ON t.token = r.symbol),
-    intro AS (SELECT bound AS symbol, 'KW' AS ps, relpath AS pr, lineno AS pl, 0 AS h, lpad(key::VARCHAR, 12, '0') AS tr, 0 AS tl, '' AS ts FROM g WHERE key <= 3
+    intro AS (SELECT bound AS symbol, 'KW' AS ps, relpath AS pr, lineno AS pl, 0 AS h, lpad(key::VARCHAR, 12, '0') AS tr, 0 AS tl, '' AS ts FROM g WHERE {_SEED_SQL}
         UNION ALL SELECT bound, symbol, relpath, lineno, hop, relpath, lineno, symbol FROM occ WHERE bound <> symbol AND hop < {_DEPTH}),
     edges AS (SELECT DISTINCT ps AS parent_symbol, pr AS parent_relpath, pl AS parent_lineno, o.symbol, o.relpath, o.lineno FROM intro i JOIN occ o USING (symbol)
         WHERE (ps, pr, pl) <> (o.symbol, o.relpath, o.lineno) AND (i.h, i.tr, i.tl, i.ts) < (o.hop, o.relpath, o.lineno, o.symbol)),
     """
 _PATHS_SQL = f"""{_CLOSURE_SQL}
-    paths(path, s, r, l, n) AS (SELECT [struct_pack(symbol := 'KW', relpath := relpath, lineno := lineno)], 'KW', relpath, lineno, 0 FROM g WHERE key <= 3
+    paths(path, s, r, l, n) AS (SELECT [struct_pack(symbol := 'KW', relpath := relpath, lineno := lineno)], 'KW', relpath, lineno, 0 FROM g WHERE {_SEED_SQL}
         UNION ALL SELECT list_append(path, struct_pack(symbol := e.symbol, relpath := e.relpath, lineno := e.lineno)), e.symbol, e.relpath, e.lineno, n + 1 FROM paths p JOIN edges e ON (p.s, p.r, p.l) = (e.parent_symbol, e.parent_relpath, e.parent_lineno)
         WHERE n < {_DEPTH} AND NOT list_contains(path, struct_pack(symbol := e.symbol, relpath := e.relpath, lineno := e.lineno)) AND NOT list_contains(list_transform(path[2:], lambda x: x.symbol), e.symbol)),
     ranked AS (SELECT s AS symbol, r AS relpath, l AS lineno, array_to_string(list_transform(path, lambda x: x.symbol || '@' || x.relpath || ':' || x.lineno), ' -> ') AS chain, row_number() OVER (PARTITION BY s, r, l ORDER BY path) AS k FROM paths WHERE n > 0)
     """
 
 
-def _seed_lines(lines: DataFrame, deep: bool) -> DataFrame:
-    if not deep:
-        return lines.where("key <= 3")
+def _seed_lines(lines: DataFrame) -> DataFrame:
+    # the joined side is one row
     return lines.join(F.broadcast(lines.agg(F.count("*").alias("total")))).where("key * key <= total").drop("total")
 
 
-def _follow(spark, sf_dir, deep):
+def _follow(spark, sf_dir):
     lines = graph(spark, sf_dir)
     bound = lines.select("relpath", "lineno", L.bound_names("shell", F.col("line")).alias("b"))
-    seeds = _seed_lines(lines, deep).select(F.lit("KW").alias("keyword"), F.col("key").alias("ord"), "relpath", "lineno")
-    return C.follow(seeds, lines, index.token_index(lines), symbols_of(bound, "relpath", "lineno"), DEEP if deep else _DEPTH), seeds
+    seeds = _seed_lines(lines).select(F.lit("KW").alias("keyword"), F.col("key").alias("ord"), "relpath", "lineno")
+    return C.follow(seeds, lines, index.token_index(lines), symbols_of(bound, "relpath", "lineno"), _DEPTH), seeds
 
 
-def _paths(spark, sf_dir, deep) -> DataFrame:
-    found, seeds = _follow(spark, sf_dir, deep)
+def _paths(spark, sf_dir) -> DataFrame:
+    found, seeds = _follow(spark, sf_dir)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
-    return P.simple_paths(C.edges(found), nodes, DEEP if deep else _DEPTH)
+    return P.simple_paths(C.edges(found), nodes, _DEPTH)
 
 
 @query(f"{_CLOSURE_SQL} fin AS (SELECT 1) SELECT symbol, hop FROM reach")
-def closure_reach(spark, sf_dir, deep=False):
-    return _follow(spark, sf_dir, deep)[0].scanned.groupBy("symbol").agg(F.min("hop").alias("hop"))
+def closure_reach(spark, sf_dir):
+    return _follow(spark, sf_dir)[0].scanned.groupBy("symbol").agg(F.min("hop").alias("hop"))
 
 
 @query(f"{_CLOSURE_SQL} fin AS (SELECT 1) SELECT * FROM edges")
-def closure_edges_ordered(spark, sf_dir, deep=False):
-    e = C.edges(_follow(spark, sf_dir, deep)[0])
+def closure_edges_ordered(spark, sf_dir):
+    e = C.edges(_follow(spark, sf_dir)[0])
     return e.select(F.col("parent.symbol").alias("parent_symbol"), F.col("parent.relpath").alias("parent_relpath"), F.col("parent.lineno").alias("parent_lineno"), "child.symbol", "child.relpath", "child.lineno")
 
 
 @query(f"{_PATHS_SQL} SELECT symbol, relpath, lineno, chain FROM ranked")
-def paths_to_target(spark, sf_dir, deep=False):
-    return _paths(spark, sf_dir, deep).select("target.symbol", "target.relpath", "target.lineno", X.chain(F.col("path")).alias("chain"))
+def paths_to_target(spark, sf_dir):
+    return _paths(spark, sf_dir).select("target.symbol", "target.relpath", "target.lineno", X.chain(F.col("path")).alias("chain"))
 
 
 @query(f"{_PATHS_SQL}, few AS (SELECT *, row_number() OVER (PARTITION BY symbol, relpath, lineno ORDER BY chain) AS j, count(*) OVER (PARTITION BY symbol, relpath, lineno) > 1 AS capped FROM ranked WHERE k <= 2) SELECT symbol, relpath, lineno, chain, capped FROM few WHERE j <= 1")
-def paths_capped(spark, sf_dir, deep=False):
-    found, seeds = _follow(spark, sf_dir, deep)
+def paths_capped(spark, sf_dir):
+    found, seeds = _follow(spark, sf_dir)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
-    return P.first_chains(C.edges(found), nodes, DEEP if deep else _DEPTH, 1).select("target.symbol", "target.relpath", "target.lineno", "chain", "capped")
+    return P.first_chains(C.edges(found), nodes, _DEPTH, 1).select("target.symbol", "target.relpath", "target.lineno", "chain", "capped")
 
 
-@query(f"{_CLOSURE_SQL} fin AS (SELECT 1) SELECT DISTINCT symbol, relpath, lineno FROM edges WHERE (relpath, lineno) NOT IN (SELECT (relpath, lineno) FROM g WHERE key <= 3)")
-def seed_location_exclusion(spark, sf_dir, deep=False):
-    found, seeds = _follow(spark, sf_dir, deep)
+@query(f"{_CLOSURE_SQL} fin AS (SELECT 1) SELECT DISTINCT symbol, relpath, lineno FROM edges WHERE (relpath, lineno) NOT IN (SELECT (relpath, lineno) FROM g WHERE {_SEED_SQL})")
+def seed_location_exclusion(spark, sf_dir):
+    found, seeds = _follow(spark, sf_dir)
     return C.edges(found).select("child.symbol", "child.relpath", "child.lineno").distinct().join(seeds.select("relpath", "lineno"), ["relpath", "lineno"], "left_anti").select("symbol", "relpath", "lineno")
 
 
-_INDIRECT_SQL = "SELECT 'KW' AS keyword, 'shell' AS language, relpath AS file, lineno, 'indirect:var' AS ref_kind, '代入' AS category, '代入 (shell)' AS usage_summary, symbol AS via_symbol, chain, 'medium' AS confidence FROM ranked WHERE (relpath, lineno) NOT IN (SELECT (relpath, lineno) FROM g WHERE key <= 3)"
+_INDIRECT_SQL = f"SELECT 'KW' AS keyword, 'shell' AS language, relpath AS file, lineno, 'indirect:var' AS ref_kind, '代入' AS category, '代入 (shell)' AS usage_summary, symbol AS via_symbol, chain, 'medium' AS confidence FROM ranked WHERE (relpath, lineno) NOT IN (SELECT (relpath, lineno) FROM g WHERE {_SEED_SQL})"
 
 
-def _indirect(spark, sf_dir, deep) -> DataFrame:
-    found, seeds = _follow(spark, sf_dir, deep)
+def _indirect(spark, sf_dir) -> DataFrame:
+    found, seeds = _follow(spark, sf_dir)
     nodes = seeds.select("keyword", F.struct(F.col("keyword").alias("symbol"), "relpath", "lineno").alias("node"))
-    chains = P.first_chains(C.edges(found), nodes, DEEP if deep else _DEPTH).select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain")
+    chains = P.first_chains(C.edges(found), nodes, _DEPTH).select("keyword", "target.symbol", "target.relpath", "target.lineno", "chain")
     chains = chains.join(seeds.select("relpath", "lineno"), ["relpath", "lineno"], "left_anti").join(C.kinds(found), ["keyword", "symbol"]).join(graph(spark, sf_dir).select("relpath", "lineno", "line"), ["relpath", "lineno"])
     c = L.classify("shell", F.col("line"))
     return chains.select("keyword", F.lit("shell").alias("language"), F.col("relpath").alias("file"), "lineno", F.concat(F.lit("indirect:"), "kind").alias("ref_kind"), c["category"].alias("category"), X.usage_summary(c["category"], F.lit("shell")).alias("usage_summary"), F.col("symbol").alias("via_symbol"), "chain", c["confidence"].alias("confidence"))
 
 
 @query(f"{_PATHS_SQL} {_INDIRECT_SQL}")
-def indirect_hits(spark, sf_dir, deep=False):
-    return _indirect(spark, sf_dir, deep)
+def indirect_hits(spark, sf_dir):
+    return _indirect(spark, sf_dir)
 
 
-@query(f"{_PATHS_SQL}, every AS (SELECT 0 AS rank, '' AS grp, 'KW' AS keyword, relpath AS file, lineno, 'direct' AS ref_kind, 'KW@' || relpath || ':' || lineno AS chain FROM g WHERE key <= 3 UNION ALL SELECT 1, chain, keyword, file, lineno, ref_kind, chain FROM ({_INDIRECT_SQL})) SELECT row_number() OVER (PARTITION BY keyword ORDER BY rank, grp, file, lineno, ref_kind)::INT AS place, keyword, file, lineno, ref_kind, chain FROM every")
-def hits_union_sorted(spark, sf_dir, deep=False):
-    direct = _seed_lines(graph(spark, sf_dir), deep).select(F.lit("KW").alias("keyword"), F.col("relpath").alias("file"), "lineno", F.lit("direct").alias("ref_kind"), X.hop(F.lit("KW"), F.col("relpath"), F.col("lineno")).alias("chain"))
-    every = direct.unionByName(_indirect(spark, sf_dir, deep).select("keyword", "file", "lineno", "ref_kind", "chain"))
+@query(f"{_PATHS_SQL}, every AS (SELECT 0 AS rank, '' AS grp, 'KW' AS keyword, relpath AS file, lineno, 'direct' AS ref_kind, 'KW@' || relpath || ':' || lineno AS chain FROM g WHERE {_SEED_SQL} UNION ALL SELECT 1, chain, keyword, file, lineno, ref_kind, chain FROM ({_INDIRECT_SQL})) SELECT row_number() OVER (PARTITION BY keyword ORDER BY rank, grp, file, lineno, ref_kind)::INT AS place, keyword, file, lineno, ref_kind, chain FROM every")
+def hits_union_sorted(spark, sf_dir):
+    direct = _seed_lines(graph(spark, sf_dir)).select(F.lit("KW").alias("keyword"), F.col("relpath").alias("file"), "lineno", F.lit("direct").alias("ref_kind"), X.hop(F.lit("KW"), F.col("relpath"), F.col("lineno")).alias("chain"))
+    every = direct.unionByName(_indirect(spark, sf_dir).select("keyword", "file", "lineno", "ref_kind", "chain"))
     first = F.col("ref_kind") == "direct"
     order = Window.partitionBy("keyword").orderBy(F.when(first, 0).otherwise(1), F.when(first, "").otherwise(F.col("chain")), "file", "lineno", "ref_kind")
     return every.select(F.row_number().over(order).alias("place"), "keyword", "file", "lineno", "ref_kind", "chain")
 
 
-#: Depth of the *_deep queries, the operators' own; their seeds are the lines whose key's square is
-#: at most the number of lines. The queries above stop at _DEPTH, with three seeds.
-DEEP = 10
-
-
-def _deep_sql(sql: str) -> str:
-    for old, new in ((f"hop < {_DEPTH}", f"hop < {DEEP}"), (f"WHERE n < {_DEPTH}", f"WHERE n < {DEEP}"), ("key <= 3", "key * key <= (SELECT count(*) FROM customer)")):
-        sql = sql.replace(old, new)
-    return sql
-
-
-def _deep(name: str) -> None:
-    def run(spark, sf_dir):
-        return QUERIES[name](spark, sf_dir, deep=True)
-
-    run.__name__ = f"{name}_deep"
-    query(_deep_sql(ORACLES[name]))(run)
-
-
-for _name in ("closure_reach", "closure_edges_ordered", "paths_to_target", "paths_capped", "seed_location_exclusion", "indirect_hits", "hits_union_sorted"):
-    _deep(_name)
-
-
 @query("SELECT lang, token AS symbol FROM (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY len(token), token) AS r FROM (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM documents)) WHERE r <= 50")
 def symbol_cap(spark, sf_dir):
     names = table(spark, sf_dir, "documents").select("lang", F.explode(index.tokens_of(F.col("text"))).alias("symbol")).distinct()
