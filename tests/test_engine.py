@@ -4,6 +4,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell import __main__ as command
 from tracewell import engine
@@ -11,6 +12,8 @@ from tracewell.operators import diagnostics
 from tracewell.options import Options
 from tracewell.sinks import tsv
 from tracewell.sources import grep, walk
+from tracewell.sources.kept import Kept, namespace
+from tracewell.sources.staging import Tables
 
 
 @pytest.fixture
@@ -112,15 +115,55 @@ def test_command_line_options():
     assert (options.items, options.min_specificity, options.lang_map, options.exclude, options.encoding_fallback) == (0, 0, {".inc": "c"}, ["x"], ("euc-jp", "latin-1")) and options.problems() == []
 
 
-def test_linked_folders_are_entered_once_in_order(tmp_path):
+def test_linked_folders_are_entered_once_in_order(spark, tmp_path):
     (tmp_path / "z").mkdir()
     (tmp_path / "z/x.c").write_text("x")
     (tmp_path / "a").mkdir()
     (tmp_path / "a/link").symlink_to("../z")
-    files, _ = walk.walk(tmp_path, Options(follow_symlinks=True))
-    assert [f[0] for f in files] == ["a/link/x.c"]
-    files, notes = walk.walk(tmp_path, Options())
-    assert [f[0] for f in files] == ["z/x.c"] and notes == []
+    files, _ = walk.walk(spark, tmp_path, Options(follow_symlinks=True), Tables(spark, "walk"))
+    assert [f["relpath"] for f in files.collect()] == ["a/link/x.c"]
+    files, notes = walk.walk(spark, tmp_path, Options(), Tables(spark, "walk"))
+    assert [f["relpath"] for f in files.collect()] == ["z/x.c"] and notes.isEmpty()
+
+
+def test_folders_left_are_dealt_again(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(walk, "LISTED", 2)
+    names = [f"{a}/{b}/{c}.c" for a in "pq" for b in "rst" for c in "uv"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "p/l").symlink_to("r/u.c")
+    files, notes = walk.walk(spark, tmp_path, Options(), Tables(spark, "walk"))
+    assert {r["relpath"]: bytes(r["content"]).decode() for r in walk.read(files).collect()} == {n: n for n in names}
+    assert [tuple(r)[:2] for r in notes.collect()] == [("symlink_skipped", "p/l")]
+    empty = tmp_path / "none"
+    empty.mkdir()
+    files, notes = walk.walk(spark, empty, Options(), Tables(spark, "walk"))
+    assert walk.read(files).isEmpty() and notes.isEmpty()
+
+
+def test_kept_texts_give_the_same_rows(spark, tree, monkeypatch):
+    (tree / "src/jp.sh").write_bytes("X=$LIMIT # 日本語のコード\n".encode("cp932"))
+    store = tree / "kept"
+    plain = engine.run(spark, tree / "in", tree / "out0", tree / "src")
+    options = Options(decode_cache_dir=str(store))
+    engine.run(spark, tree / "in", tree / "out1", tree / "src", options)
+    texts = Kept(spark, str(store), options).texts()
+    assert texts.where("encoding = 'shift_jis'").count() == 1 and texts.count() == 5
+    monkeypatch.setattr(engine, "decoded", lambda *_: F.raise_error(F.lit("decoded again")).cast("struct<text: string, encoding: string, replaced: boolean>"))
+    again = engine.run(spark, tree / "in", tree / "out2", tree / "src", options)
+    monkeypatch.undo()
+    assert [m["rows"] for m in again] == [m["rows"] for m in plain]
+    assert all((tree / "out0/LIMIT.tsv").read_bytes() == (tree / o / "LIMIT.tsv").read_bytes() for o in ("out1", "out2"))
+    # a changed file and another way to decode are misses; an unfinished run isn't read
+    (tree / "src/q.sql").write_text("SELECT 1;\n")
+    next(store.glob("*/*/_SUCCESS")).unlink()
+    engine.run(spark, tree / "in", tree / "out3", tree / "src", options)
+    assert Kept(spark, str(store), options).texts().where("text = 'SELECT 1;\n'").count() == 1
+    other = Options(decode_cache_dir=str(store), fast_encoding=True)
+    assert namespace(other) != namespace(options) and Kept(spark, str(store), other).texts().isEmpty()
+    Kept(spark, str(store), options).trim(1)
+    assert Kept(spark, str(store), options).texts().isEmpty()
 
 
 def test_hits_with_large_numbers(spark):

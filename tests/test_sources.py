@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tracewell.functions import text as X
 from tracewell.options import Options, parse_lang_map
 from tracewell.sources import decode, grep, walk
+from tracewell.sources.staging import Tables
 
 
 def test_hits_part_at_the_leftmost_number(spark):
@@ -14,15 +15,21 @@ def test_hits_part_at_the_leftmost_number(spark):
     assert found == [("a.c", 12, "x:3:y"), ("C:/b.c", 7, ""), (None, None, None), (None, None, None), (None, None, None), ("d", 1, "z")]
 
 
-def test_walk_leaves_out_what_it_notes(tmp_path):
+def walked(spark, tmp_path, options):
+    """(relpath, kind) of the files by path, and (category, message) of the notes."""
+    files, notes = walk.walk(spark, tmp_path, options, Tables(spark, "walk"))
+    return sorted((r["relpath"], r["kind"]) for r in files.collect()), [(r["category"], r["message"]) for r in notes.orderBy("category", "place").collect()]
+
+
+def test_walk_leaves_out_what_it_notes(spark, tmp_path):
     for name, data in {"a.c": b"x", "b/c.h": b"y", "target/d.c": b"z", "n.bin": b"a\0b", "w.txt": b"\xff\xfea\0", "big.c": b"x" * 50}.items():
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     os.symlink(tmp_path / "a.c", tmp_path / "link.c")
-    files, notes = walk.walk(tmp_path, Options(max_file_bytes=20))
-    assert [(f[0], f[4]) for f in files] == [("a.c", "ok"), ("b/c.h", "ok"), ("w.txt", "unsafe")]
+    files, notes = walked(spark, tmp_path, Options(max_file_bytes=20))
+    assert files == [("a.c", "ok"), ("b/c.h", "ok"), ("w.txt", "unsafe")]
     assert sorted(notes) == [("symlink_skipped", "link.c"), ("walk_excluded", "target/d.c"), ("walk_skipped_binary", "n.bin"), ("walk_skipped_large", "big.c")]
-    files, notes = walk.walk(tmp_path, Options(follow_symlinks=True, include=["*.c"]))
+    files, notes = walked(spark, tmp_path, Options(follow_symlinks=True, include=["*.c"]))
     assert [f[0] for f in files] == ["a.c", "big.c"] and ("symlink_dedup", "link.c -> a.c") in notes
 
 
@@ -30,8 +37,8 @@ def test_files_are_read_and_decoded(spark, tmp_path):
     (tmp_path / "u.txt").write_text("é", "utf-8")
     (tmp_path / "s.txt").write_bytes("日本語のコード".encode("cp932"))
     (tmp_path / "e.txt").write_bytes(b"")
-    files, _ = walk.walk(tmp_path, Options())
-    rows = walk.read(spark, files).select("relpath", decode.decoded(F.col("content"), ("cp932", "latin-1")).alias("d")).collect()
+    files, _ = walk.walk(spark, tmp_path, Options(), Tables(spark, "walk"))
+    rows = walk.read(files).select("relpath", decode.decoded(F.col("content"), ("cp932", "latin-1")).alias("d")).collect()
     assert {r["relpath"]: tuple(r["d"]) for r in rows} == {"u.txt": ("é", "utf-8", False), "s.txt": ("日本語のコード", "shift_jis", False), "e.txt": ("", "utf-8", False)}
 
 

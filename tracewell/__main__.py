@@ -27,12 +27,13 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--encoding-fallback", default=",".join(base.encoding_fallback), help="encodings tried after UTF-8 and a guess")
     for name, text in (("follow-symlinks", "enter linked folders and files"), ("fast-encoding", "try the fallbacks before guessing"), ("resume", "leave out keywords that are done")):
         out.add_argument(f"--{name}", action="store_true", help=text)
+    out.add_argument("--decode-cache-dir", help="folder for decoded texts that later runs use")
+    out.add_argument("--decode-cache-max-bytes", type=int, help="size beyond which the oldest of them go")
     out.add_argument("--jobs", type=int, default=1, help="least number of tasks of a stage; the rows are the same for any")
     # accepted for existing scripts; they have no effect on the rows, nor on Spark's plans
-    for name in ("ripgrep-threshold-bytes", "max-passes", "decode-cache-max-bytes"):
+    for name in ("ripgrep-threshold-bytes", "max-passes"):
         out.add_argument(f"--{name}", type=int, help="has no effect")
-    for name in ("progress", "decode-cache-dir"):
-        out.add_argument(f"--{name}", help="has no effect")
+    out.add_argument("--progress", help="has no effect")
     for name in ("use-ripgrep", "no-use-ripgrep", "no-perkw-diag"):
         out.add_argument(f"--{name}", action="store_true", help="has no effect")
     return out
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def options_of(given: argparse.Namespace) -> Options:
     more = {} if given.exclude is None else {"exclude": given.exclude}
     fallback = tuple(x.strip() for x in given.encoding_fallback.split(",") if x.strip()) or Options().encoding_fallback
-    same = ("max_depth", "min_specificity", "stoplist", "include", "follow_symlinks", "max_file_bytes", "max_symbols", "max_paths", "resume", "output_encoding", "max_rows_per_part", "diagnostics_detail_limit", "fast_encoding")
+    same = ("max_depth", "min_specificity", "stoplist", "include", "follow_symlinks", "max_file_bytes", "max_symbols", "max_paths", "resume", "output_encoding", "max_rows_per_part", "diagnostics_detail_limit", "fast_encoding", "decode_cache_dir", "decode_cache_max_bytes")
     return Options(**{n: getattr(given, n) for n in same}, lang_map=parse_lang_map(given.lang_map), memory_limit_mb=given.memory_limit, encoding_fallback=fallback, **more)
 
 
@@ -53,7 +54,7 @@ def main(argv: list[str] | None = None) -> int:
     except ValueError as e:
         p.error(str(e))
     problems = [*folder_problems(given.input, given.output, given.source_root), *options.problems()]
-    problems += [f"--{name.replace('_', '-')} must be {least} or more" for name, least in (("jobs", 1), ("max_passes", 1), ("ripgrep_threshold_bytes", 0), ("decode_cache_max_bytes", 1)) if (v := getattr(given, name)) is not None and v < least]
+    problems += [f"--{name.replace('_', '-')} must be {least} or more" for name, least in (("jobs", 1), ("max_passes", 1), ("ripgrep_threshold_bytes", 0)) if (v := getattr(given, name)) is not None and v < least]
     if problems:
         p.error("; ".join(problems))
     from pyspark.sql import SparkSession

@@ -19,6 +19,7 @@ from .plans import paths as P
 from .sinks import tsv
 from .sources import grep, walk
 from .sources.decode import decoded
+from .sources.kept import KEY, Kept
 from .sources.staging import Tables
 
 # --- fixed value: what an encoding that was guessed or replaced is marked with
@@ -33,23 +34,42 @@ class Analysis:
     notes: DataFrame
 
 
-def load(spark: SparkSession, root: str | Path, hits: DataFrame, options: Options, tables: Tables) -> tuple[DataFrame, list[tuple[str, str]]]:
+def load(spark: SparkSession, root: str | Path, hits: DataFrame, options: Options, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """Decoded files (relpath, text, encoding, replaced, language, dialect, walked), and notes of the walk.
 
-    The files that the walk finds, and those that hits name although it leaves them out.
+    The files that the walk finds, and those that hits name although it leaves them out. Texts kept from
+    earlier runs aren't read again.
     """
-    found, notes = walk.walk(root, options)
-    walked = walk.read(spark, found).withColumn("walked", F.lit(True))
+    walked, notes = walk.walk(spark, root, options, tables)
     named = hits.where("path is not null").select("relpath", "path").distinct().join(walked.select("relpath"), "relpath", "left_anti")
-    files = walked.unionByName(walk.read_named(named, root).withColumn("walked", F.lit(False)))
-    files = files.select("relpath", "walked", decoded(F.col("content"), options.encoding_fallback, options.fast_encoding).alias("d"))
-    files = files.select("relpath", "walked", "d.text", "d.encoding", "d.replaced")
+    files = walked.withColumn("walked", F.lit(True)).unionByName(walk.named(named, root).withColumn("walked", F.lit(False)))
+    files = _texts(spark, tables.put(files, "found"), options, tables)
     path, text = F.col("relpath"), F.col("text")
     files = files.withColumn("language", L.detect_language(path, text, options.lang_map)).withColumn("dialect", L.detect_dialect(path, text))
     odd = ~L.resolved_by_name(path, options.lang_map) & L.interpreter(F.substring(text, 1, 65536)).isNotNull() & L.shebang_language(F.substring(text, 1, 65536)).isNull()
     return tables.put(files.withColumn("odd_shebang", F.coalesce(odd, F.lit(False))), "files"), notes
 
 
+def _texts(spark: SparkSession, files: DataFrame, options: Options, tables: Tables) -> DataFrame:
+    """(relpath, walked, text, encoding, replaced) of ``files``, read and decoded unless kept."""
+
+    def fresh(some: DataFrame) -> DataFrame:
+        read = walk.read(some).withColumn("d", decoded(F.col("content"), options.encoding_fallback, options.fast_encoding))
+        return read.select("relpath", "walked", *KEY, "d.text", "d.encoding", "d.replaced")
+
+    columns = ["relpath", "walked", "text", "encoding", "replaced"]
+    if options.decode_cache_dir is None:
+        return fresh(files).select(*columns)
+    kept = Kept(spark, options.decode_cache_dir, options)
+    known = kept.texts()
+    had = tables.put(files.join(known, KEY).select(*columns), "kept")
+    made = tables.put(fresh(files.join(known.select(*KEY), KEY, "left_anti")), "decoded")
+    kept.add(made)
+    if options.decode_cache_max_bytes is not None:
+        kept.trim(options.decode_cache_max_bytes)
+    return had.unionByName(made.select(*columns))
+
+
 CONSTRUCTS = "relpath string, language string, lineno int, category string, confidence string, first int, last int, names array<struct<symbol: string, kind: string>>"
 
 
@@ -131,8 +151,8 @@ def analyse(spark: SparkSession, hits: DataFrame, source_root: str | Path, optio
 
 def _notes(spark, hits, good, found: C.Closure, chains, names, seeds, walk_notes, options: Options) -> DataFrame:
     """What a reader of the results should know: the walk first, then by keyword, hits before what follows from them."""
-    rows = [spark.createDataFrame([(c, m, "", 0, k) for k, (c, m) in enumerate(walk_notes)], "category string, message string, keyword string, step int, at long")]
-    say = lambda df, category, message, step, at="ord": rows.append(df.select(F.lit(category).alias("category"), message.alias("message"), "keyword", F.lit(step).alias("step"), F.col(at).cast("long").alias("at")))
+    rows = [walk_notes.select("category", "message", F.lit("").alias("keyword"), F.lit(0).alias("step"), F.lit(0).cast("long").alias("at"), "place")]
+    say = lambda df, category, message, step, at="ord", place=F.lit(b""): rows.append(df.select(F.lit(category).alias("category"), message.alias("message"), "keyword", F.lit(step).alias("step"), F.col(at).cast("long").alias("at"), place.alias("place")))
     path = X.sanitize(F.col("relpath"))
     say(hits.where("relpath is null"), "bad_grep_line", F.concat("keyword", F.lit(".grep: "), "raw"), 1)
     say(good.where("language is null"), "missing_source", path, 1)
@@ -141,6 +161,8 @@ def _notes(spark, hits, good, found: C.Closure, chains, names, seeds, walk_notes
     parents = seeds.select("keyword", "relpath", "lineno").unionByName(found.found.where("chase and not terminal").select("keyword", "relpath", "lineno"))
     refused = parents.join(names.where("why is not null"), ["relpath", "lineno"]).withColumn("at", F.lit(0))
     say(refused, "symbol_rejected", F.concat_ws("\t", "why", "symbol"), 2, "at")
+    ends = found.found.where("terminal").groupBy("keyword", "symbol").agg(F.min(F.struct("hop", "relpath", "lineno")).alias("first"))
+    say(ends, "getter_setter_no_expand", F.col("symbol"), 2, "first.hop", F.encode("first.relpath", "utf-8"))
     deep = found.beyond.distinct().withColumn("at", F.lit(0))
     node = X.hop(F.col("parent.symbol"), F.col("parent.relpath"), F.col("parent.lineno"))
     say(deep, "prov_max_depth", F.concat(node, F.lit(f" (hop {options.max_depth + 1} > --max-depth {options.max_depth})")), 2, "at")
@@ -150,7 +172,7 @@ def _notes(spark, hits, good, found: C.Closure, chains, names, seeds, walk_notes
     for more in rows[1:]:
         every = every.unionByName(more)
     # the place in the whole, by a sort over ranges
-    return every.orderBy("keyword", "step", "at", "message").select("category", "message", F.monotonically_increasing_id().alias("seq"))
+    return every.orderBy("keyword", "step", "at", "place", "message").select("category", "message", F.monotonically_increasing_id().alias("seq"))
 
 
 def run(spark: SparkSession, input_dir: str | Path, output_dir: str | Path, source_root: str | Path, options: Options = Options()) -> list[dict]:

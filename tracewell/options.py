@@ -27,6 +27,8 @@ class Options:
     max_rows_per_part: int = 1_048_575
     diagnostics_detail_limit: int = 1000
     fast_encoding: bool = False
+    decode_cache_dir: str | None = None
+    decode_cache_max_bytes: int | None = None
 
     #: Names and edges that one MB of the memory limit stands for (a fixed value).
     ITEMS_PER_MB = 74_044
@@ -45,7 +47,7 @@ class Options:
     def problems(self) -> list[str]:
         """What is wrong with the values; nothing is read or written before this is empty."""
         out = []
-        for name, least in (("max_depth", 0), ("min_specificity", 0), ("max_file_bytes", 0), ("max_symbols", 1), ("max_paths", 1), ("max_rows_per_part", 1), ("diagnostics_detail_limit", 0), ("memory_limit_mb", 0)):
+        for name, least in (("max_depth", 0), ("min_specificity", 0), ("max_file_bytes", 0), ("max_symbols", 1), ("max_paths", 1), ("max_rows_per_part", 1), ("diagnostics_detail_limit", 0), ("memory_limit_mb", 0), ("decode_cache_max_bytes", 1)):
             value = getattr(self, name)
             if value is not None and value < least:
                 out.append(f"--{name.replace('_', '-')} must be {least} or more")

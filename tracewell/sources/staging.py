@@ -17,10 +17,11 @@ class Tables:
         if not at:
             at = LOCAL_CHECKPOINTS
             spark.sparkContext.setCheckpointDir(at)
-        self.spark, self.root = spark, f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.spark, self.root, self.count = spark, f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}", 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        self.count += 1
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self) -> None:
