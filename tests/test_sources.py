@@ -37,9 +37,11 @@ def test_files_are_read_and_decoded(spark, tmp_path):
     (tmp_path / "u.txt").write_text("é", "utf-8")
     (tmp_path / "s.txt").write_bytes("日本語のコード".encode("cp932"))
     (tmp_path / "e.txt").write_bytes(b"")
+    (tmp_path / "w.txt").write_bytes("wïde".encode("utf-16"))
+    (tmp_path / "v.txt").write_bytes("wïde".encode("utf-32"))
     files, _ = walk.walk(spark, tmp_path, Options(), Tables(spark, "walk"))
     rows = walk.read(files).select("relpath", decode.decoded(F.col("content"), ("cp932", "latin-1")).alias("d")).collect()
-    assert {r["relpath"]: tuple(r["d"]) for r in rows} == {"u.txt": ("é", "utf-8", False), "s.txt": ("日本語のコード", "shift_jis", False), "e.txt": ("", "utf-8", False)}
+    assert {r["relpath"]: tuple(r["d"]) for r in rows} == {"u.txt": ("é", "utf-8", False), "s.txt": ("日本語のコード", "shift_jis", False), "e.txt": ("", "utf-8", False), "w.txt": ("wïde", "utf-16", False), "v.txt": ("wïde", "utf-32", False)}
 
 
 @pytest.mark.parametrize(("glob", "path", "found"), [("*.c", "a/b.c", True), ("a/*.c", "a/b/c.c", False), ("**/x/**", "x/y", True), ("a?[0-2].c", "ab1.c", True), ("a[!b].c", "ab.c", False)])

@@ -95,11 +95,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _over(introduced: DataFrame, limit: int) -> DataFrame:
-    """(keyword, symbol) of the names past the limit of their keyword."""
+def first_names(introduced: DataFrame, limit: int) -> DataFrame:
+    """(keyword, symbol) of the first ``limit`` names of each keyword, by hop, length and name."""
     hops = introduced.groupBy("keyword", "symbol").agg(F.min("at.hop").alias("h"))
+    # the limit is pushed below the shuffle, so a task gets the first names of each other task only
     rank = F.row_number().over(Window.partitionBy("keyword").orderBy("h", F.length("symbol"), "symbol"))
-    return hops.withColumn("r", rank).where(F.col("r") > limit).select("keyword", "symbol")
+    return hops.withColumn("r", rank).where(F.col("r") <= limit).select("keyword", "symbol")
+
+
+def _over(introduced: DataFrame, limit: int) -> DataFrame:
+    """(keyword, symbol) of the names past the limit of their keyword."""
+    names = introduced.select("keyword", "symbol").distinct()
+    return names.join(first_names(introduced, limit), ["keyword", "symbol"], "left_anti")
 
 
 def edges(closure: Closure) -> DataFrame:

@@ -365,11 +365,11 @@ def _seed_lines(lines: DataFrame) -> DataFrame:
     return lines.join(F.broadcast(lines.agg(F.count("*").alias("total")))).where("key * key <= total").drop("total")
 
 
-def _follow(spark, sf_dir):
+def _follow(spark, sf_dir, max_symbols=100_000):
     lines = graph(spark, sf_dir)
     bound = lines.select("relpath", "lineno", L.bound_names("shell", F.col("line")).alias("b"))
     seeds = _seed_lines(lines).select(F.lit("KW").alias("keyword"), F.col("key").alias("ord"), "relpath", "lineno")
-    return C.follow(seeds, lines, index.token_index(lines), symbols_of(bound, "relpath", "lineno"), _DEPTH), seeds
+    return C.follow(seeds, lines, index.token_index(lines), symbols_of(bound, "relpath", "lineno"), _DEPTH, max_symbols), seeds
 
 
 def _paths(spark, sf_dir) -> DataFrame:
@@ -433,10 +433,19 @@ def hits_union_sorted(spark, sf_dir):
     return every.select(F.row_number().over(order).alias("place"), "keyword", "file", "lineno", "ref_kind", "chain")
 
 
+#: Names that a keyword may follow in closure_capped.
+_CAP = 40
+
+
+@query(f"{_CLOSURE_SQL} kept AS (SELECT symbol FROM reach ORDER BY hop, len(symbol), symbol LIMIT {_CAP}) SELECT symbol, relpath, lineno FROM occ SEMI JOIN kept USING (symbol) GROUP BY ALL")
+def closure_capped(spark, sf_dir):
+    return _follow(spark, sf_dir, _CAP)[0].found.select("symbol", "relpath", "lineno").distinct()
+
+
 @query("SELECT lang, token AS symbol FROM (SELECT lang, token, row_number() OVER (PARTITION BY lang ORDER BY len(token), token) AS r FROM (SELECT DISTINCT lang, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS token FROM documents)) WHERE r <= 50")
 def symbol_cap(spark, sf_dir):
-    names = table(spark, sf_dir, "documents").select("lang", F.explode(index.tokens_of(F.col("text"))).alias("symbol")).distinct()
-    return names.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.length("symbol"), "symbol"))).where("r <= 50").select("lang", "symbol")
+    names = table(spark, sf_dir, "documents").select(F.col("lang").alias("keyword"), F.explode(index.tokens_of(F.col("text"))).alias("symbol"), F.struct(F.lit(1).alias("hop")).alias("at"))
+    return C.first_names(names, 50).select(F.col("keyword").alias("lang"), "symbol")
 
 
 # --- output

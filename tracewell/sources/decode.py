@@ -21,9 +21,19 @@ def _plausible(text: str) -> float:
     return good / len(odd) if odd else 0.0
 
 
+# --- fixed values: the marks that begin UTF-32 and UTF-16, longer ones first
+MARKS = ((b"\xff\xfe\x00\x00", "utf-32"), (b"\x00\x00\xfe\xff", "utf-32"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16"))
+
+
 def guess(data: bytes) -> tuple[str, str, float] | None:
-    """(text, name, share) of the more plausible of the two Japanese encodings that fit, if one does."""
+    """(text, name, share) of the encoding that a mark names, else of the more plausible of two Japanese ones that fit."""
     best = None
+    for mark, name in MARKS:
+        if data.startswith(mark):
+            try:
+                return data.decode(name), name, 1.0
+            except UnicodeDecodeError:
+                break
     for name, codec in (("shift_jis", "cp932"), ("euc-jp", "euc-jp")):
         try:
             text = data.decode(codec)
