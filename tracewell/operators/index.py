@@ -2,8 +2,9 @@
 
 A name matches where no letter, digit or underscore (ASCII) stands right before or after it. For a
 name of those characters only, that means it equals a maximal run of them, so a join with the runs of
-each line finds all names at once, however many they are. Other names are joined on their first
-character outside the set and then looked for on the few lines that have it.
+each line finds all names at once, however many they are. The runs within any other name are runs of
+each line where it occurs, so it is looked for on the lines that have the one of them that stands on the
+fewest lines. Names without such a run are joined on their first character.
 """
 
 from __future__ import annotations
@@ -36,8 +37,14 @@ def first_odd(symbol: Column) -> Column:
 def occurrences(lines_: DataFrame, tokens: DataFrame, symbols: DataFrame) -> DataFrame:
     """(symbol, relpath, lineno) where the distinct ``symbols`` (column symbol) occur."""
     plain = tokens.join(symbols.where(F.col("symbol").rlike(PLAIN)), F.col("token") == F.col("symbol")).select("symbol", "relpath", "lineno")
-    odd = symbols.where(~F.col("symbol").rlike(PLAIN) & (F.col("symbol") != "")).select("symbol", first_odd(F.col("symbol")).alias("odd"))
+    odd = symbols.where(~F.col("symbol").rlike(PLAIN) & (F.col("symbol") != "")).select("symbol", tokens_of(F.col("symbol")).alias("parts"))
+    bounded = F.contains("line", "symbol") & F.expr(r"line rlike concat('(?s)(?<![A-Za-z0-9_])\\Q', replace(symbol, '\\E', '\\E\\\\E\\Q'), '\\E(?![A-Za-z0-9_])')")
+    parts = odd.select("symbol", F.explode("parts").alias("token"))
+    often = tokens.join(parts.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = parts.join(often, "token").groupBy("symbol").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    near = tokens.join(rarest, "token").select("symbol", "relpath", "lineno").join(lines_.select("relpath", "lineno", "line"), ["relpath", "lineno"])
+    # names of other characters only
+    bare = odd.where(F.size("parts") == 0).select("symbol", first_odd(F.col("symbol")).alias("odd"))
     marked = lines_.where(F.col("line").rlike("[^A-Za-z0-9_]")).select("relpath", "lineno", "line", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit("(?s)[^A-Za-z0-9_]"), F.lit(0)))).alias("odd"))
-    bounded = F.expr(r"line rlike concat('(?s)(?<![A-Za-z0-9_])\\Q', replace(symbol, '\\E', '\\E\\\\E\\Q'), '\\E(?![A-Za-z0-9_])')")
-    found = marked.join(odd, "odd").where(F.contains("line", "symbol") & bounded).select("symbol", "relpath", "lineno")
-    return plain.unionByName(found)
+    found = near.select("symbol", "relpath", "lineno", "line").unionByName(marked.join(bare, "odd").select("symbol", "relpath", "lineno", "line"))
+    return plain.unionByName(found.where(bounded).select("symbol", "relpath", "lineno"))

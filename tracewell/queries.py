@@ -14,6 +14,8 @@ from .functions import text as X
 from .operators import index, snippets
 from .plans import closure as C
 from .plans import paths as P
+from .sinks import tsv
+from .sources.staging import Tables
 
 _CASES = {
     "sql": ["'  v_'||k||' NUMBER := '||s||';'", "'SELECT a FROM t WHERE b = '||s", "'-- note '||k||' WHERE x = 1'", "'INSERT INTO t VALUES ('||q||'it; = '||s||q||')'", "'c_'||k||' CONSTANT PLS_INTEGER := '||s||'; w := :b;'", "'CASE WHEN x THEN '||s||' END'", "'CURSOR cur_'||k||' IS'", "'IF v_'||k||' THEN'", "'FOR i IN 1..'||s||' LOOP'", "'CREATE OR REPLACE PROCEDURE p_'||k", "'DBMS_OUTPUT.PUT_LINE(v_'||k||');'", "'/* comment '||k||' */'", "'x_'||k||' ('"],
@@ -429,8 +431,9 @@ def hits_union_sorted(spark, sf_dir):
     direct = _seed_lines(graph(spark, sf_dir)).select(F.lit("KW").alias("keyword"), F.col("relpath").alias("file"), "lineno", F.lit("direct").alias("ref_kind"), X.hop(F.lit("KW"), F.col("relpath"), F.col("lineno")).alias("chain"))
     every = direct.unionByName(_indirect(spark, sf_dir).select("keyword", "file", "lineno", "ref_kind", "chain"))
     first = F.col("ref_kind") == "direct"
-    order = Window.partitionBy("keyword").orderBy(F.when(first, 0).otherwise(1), F.when(first, "").otherwise(F.col("chain")), "file", "lineno", "ref_kind")
-    return every.select(F.row_number().over(order).alias("place"), "keyword", "file", "lineno", "ref_kind", "chain")
+    order = [F.when(first, 0).otherwise(1), F.when(first, "").otherwise(F.col("chain")), *map(F.col, ("file", "lineno", "ref_kind"))]
+    kept = {name: F.col(name) for name in ("file", "lineno", "ref_kind", "chain")}
+    return tsv.placed(every, "keyword", order, kept, Tables(spark, "rows")).select((F.col("n") + 1).cast("int").alias("place"), "keyword", *kept)
 
 
 #: Names that a keyword may follow in closure_capped.
@@ -453,8 +456,9 @@ def symbol_cap(spark, sf_dir):
 
 @query(f"SELECT relpath, lineno, (floor((row_number() OVER (PARTITION BY language ORDER BY relpath, lineno) - 1) / 100) + 1)::INT AS part FROM ({_CODE_SQL})")
 def part_split(spark, sf_dir):
-    order = Window.partitionBy("language").orderBy("relpath", "lineno")
-    return code(spark, sf_dir).select("relpath", "lineno", (F.floor((F.row_number().over(order) - 1) / 100) + 1).cast("int").alias("part"))
+    kept = {name: F.col(name) for name in ("relpath", "lineno")}
+    rows = tsv.placed(code(spark, sf_dir), "language", list(kept.values()), kept, Tables(spark, "rows"))
+    return rows.select(*kept, (tsv.part_of(F.col("n"), 100) + 1).cast("int").alias("part"))
 
 
 @query(f"SELECT relpath, lineno, regexp_replace(chr(9) || line || chr(133) || chr(8232) || 'x' || chr(127), '[\\x00-\\x1f\\x7f-\\x{{9f}}\\x{{2028}}\\x{{2029}}]', ' ', 'g') AS cell FROM ({_CODE_SQL})")

@@ -41,23 +41,29 @@ def row_line(columns: tuple[str, ...] = COLUMNS) -> Column:
 
 
 def numbered(rows: DataFrame, tables: Tables) -> DataFrame:
-    """(keyword, line, n): the place of each row among its keyword's, from 0.
+    """(keyword, line, n): the place of each row among its keyword's, from 0."""
+    # a keyword is a file of the input folder
+    return placed(rows, "keyword", order_of(), {"line": row_line()}, tables)
+
+
+def placed(rows: DataFrame, key: str, order: list[Column], kept: dict[str, Column], tables: Tables) -> DataFrame:
+    """(key, the kept columns, n): the place of each row among those of its ``key``, from 0. Keys are few.
 
     A sort by ranges gives each row its task and its place there; the numbers of rows of the tasks,
     one row for each, say where a task's rows begin.
     """
-    placed = rows.orderBy("keyword", *order_of()).select("keyword", row_line().alias("line"), F.monotonically_increasing_id().alias("at"))
-    placed = tables.put(placed, "sorted")
+    rows = rows.orderBy(key, *order).select(key, *[c.alias(name) for name, c in kept.items()], F.monotonically_increasing_id().alias("at"))
+    rows = tables.put(rows, "sorted")
     task = F.shiftright("at", 33)
     begin, starts = 0, []
-    for row in placed.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():
+    for row in rows.groupBy(task.alias("task")).agg(F.count("*").alias("n")).orderBy("task").collect():
         starts.append((row["task"], begin))
         begin += row["n"]
     starts = rows.sparkSession.createDataFrame(starts, "task long, begin long")
-    every = placed.withColumn("task", task).join(F.broadcast(starts), "task").select("keyword", "line", (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
-    # a row for each keyword, which is a file of the input folder
-    firsts = every.groupBy("keyword").agg(F.min("n").alias("first"))
-    return every.join(F.broadcast(firsts), "keyword").select("keyword", "line", (F.col("n") - F.col("first")).alias("n"))
+    every = rows.withColumn("task", task).join(F.broadcast(starts), "task").select(key, *kept, (F.col("begin") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("n"))
+    # a row for each key
+    firsts = every.groupBy(key).agg(F.min("n").alias("first"))
+    return every.join(F.broadcast(firsts), key).select(key, *kept, (F.col("n") - F.col("first")).alias("n"))
 
 
 def part_of(n: Column, most: int) -> Column:
@@ -101,8 +107,8 @@ def write(rows: DataFrame, output: str | Path, keywords: dict[str, str], options
     output, spark = Path(output).resolve(), rows.sparkSession
     output.mkdir(parents=True, exist_ok=True)
     tables = Tables(spark, "rows")
-    placed = tables.put(numbered(rows, tables), "placed")
-    totals = {r["keyword"]: r["n"] for r in placed.groupBy("keyword").agg(F.count("*").alias("n")).collect()}
+    lines = tables.put(numbered(rows, tables), "placed")
+    totals = {r["keyword"]: r["n"] for r in lines.groupBy("keyword").agg(F.count("*").alias("n")).collect()}
     most, encoding, header = options.max_rows_per_part, options.output_encoding, "\t".join(COLUMNS)
 
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -111,7 +117,7 @@ def write(rows: DataFrame, output: str | Path, keywords: dict[str, str], options
         lines = [header, *part.sort_values("n")["line"]]
         return pd.DataFrame([(keyword, number, name, len(part), _replace(output / name, _encoded(lines, encoding)))], columns=["keyword", "part", "name", "n", "sha256"])
 
-    done = placed.withColumn("part", part_of(F.col("n"), most)).groupBy("keyword", "part").applyInPandas(one, WRITTEN).collect()  # a row a file
+    done = lines.withColumn("part", part_of(F.col("n"), most)).groupBy("keyword", "part").applyInPandas(one, WRITTEN).collect()  # a row a file
     out = []
     for keyword in sorted(keywords):
         parts = [{"name": r["name"], "rows": r["n"], "sha256": r["sha256"]} for r in sorted(done, key=lambda r: r["part"]) if r["keyword"] == keyword]
