@@ -166,6 +166,32 @@ def test_kept_texts_give_the_same_rows(spark, tree, monkeypatch):
     assert Kept(spark, str(store), options).texts().isEmpty()
 
 
+def test_keywords_stop_words_caps_and_getters(spark, tree):
+    (tree / "src/Conf.java").write_text("class Conf {\n  private int limit = LIMIT;\n  public int getLimit() {\n    return limit;\n  }\n}\n")
+    (tree / "src/Use.java").write_text("class Use {\n  int a = conf.getLimit();\n  int b = a + 1;\n}\n")
+    (tree / "in/LIMIT.grep").write_bytes(b"conf/set.sh:1:LIMIT=9\nConf.java:4:    return limit;\n")
+    (tree / "in/NEXT.grep").write_bytes(b"use.sh:1:NEXT=$LIMIT\n")
+    (tree / "stop").write_text("# names\n\nLAST\n")
+
+    def run(name, **more):
+        found = engine.run(spark, tree / "in", tree / name, tree / "src", Options(**more))
+        notes = [tuple(line.split("\t", 1)) for line in (tree / name / "diagnostics.txt").read_text().split("# detail\n")[1].splitlines()]
+        return {m["keyword"]: {(r["via_symbol"], r["lineno"], r["ref_kind"]) for r in cells(tree / name / f"{m['keyword']}.tsv")} for m in found}, notes
+
+    rows, notes = run("plain")
+    assert {s for s, *_ in rows["NEXT"]} == {"", "NEXT", "LAST"} and {s for s, *_ in rows["LIMIT"]} >= {"", "LIMIT", "NEXT", "LAST"}
+    assert not [m for c, m in notes if c == "symbol_rejected" and "user_stoplist" in m]
+    if any(s == "getLimit" for s, *_ in rows["LIMIT"]):
+        assert ("getter_setter_no_expand", "getLimit") in notes
+        assert ("a", "3", "indirect:var") not in rows["LIMIT"]
+    stopped, notes = run("stopped", stoplist=tree / "stop")
+    assert {s for s, *_ in stopped["NEXT"]} == {"", "NEXT"} and ("symbol_rejected", "user_stoplist\tLAST") in notes
+    capped, _ = run("capped", max_symbols=1)
+    assert {s for s, *_ in capped["NEXT"]} == {"", "NEXT"}
+    none, _ = run("none", memory_limit_mb=0)
+    assert {s for s, *_ in none["NEXT"]} == {""}
+
+
 def test_hits_with_large_numbers(spark):
     rows = spark.createDataFrame([("a.c:99999999999:x",), ("b:2:",), ("c",)], "hit string")
     assert [(r["path"], r["lineno"]) for r in grep.parse(rows, "hit").collect()] == [("a.c", 99999999999), ("b", 2), (None, None)]

@@ -34,10 +34,19 @@ def first_odd(symbol: Column) -> Column:
     return F.regexp_extract(symbol, "(?s)([^A-Za-z0-9_])", 1)
 
 
-def occurrences(lines_: DataFrame, tokens: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(symbol, relpath, lineno) where the distinct ``symbols`` (column symbol) occur."""
-    plain = tokens.join(symbols.where(F.col("symbol").rlike(PLAIN)), F.col("token") == F.col("symbol")).select("symbol", "relpath", "lineno")
-    odd = symbols.where(~F.col("symbol").rlike(PLAIN) & (F.col("symbol") != "")).select("symbol", tokens_of(F.col("symbol")).alias("parts"))
+def is_plain(symbol: Column) -> Column:
+    return symbol.rlike(PLAIN)
+
+
+def occurrences(lines_: DataFrame, tokens: DataFrame, symbols: DataFrame, all_plain: bool = False) -> DataFrame:
+    """(symbol, relpath, lineno) where the distinct ``symbols`` (column symbol) occur.
+
+    ``all_plain``: it is known that each is a run of letters, digits and underscores.
+    """
+    plain = tokens.join(symbols.where(is_plain(F.col("symbol"))), F.col("token") == F.col("symbol")).select("symbol", "relpath", "lineno")
+    if all_plain:
+        return plain
+    odd = symbols.where(~is_plain(F.col("symbol")) & (F.col("symbol") != "")).select("symbol", tokens_of(F.col("symbol")).alias("parts"))
     bounded = F.contains("line", "symbol") & F.expr(r"line rlike concat('(?s)(?<![A-Za-z0-9_])\\Q', replace(symbol, '\\E', '\\E\\\\E\\Q'), '\\E(?![A-Za-z0-9_])')")
     parts = odd.select("symbol", F.explode("parts").alias("token"))
     often = tokens.join(parts.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.index import occurrences
+from ..operators.index import is_plain, occurrences
 from ..sources.staging import Tables
 
 INTRODUCED = "keyword string, symbol string, parent struct<symbol: string, relpath: string, lineno: int>, at struct<hop: int, relpath: string, lineno: int, symbol: string>, role string, kind string, ord int, seed boolean"
@@ -62,7 +62,7 @@ def follow(seeds: DataFrame, lines: DataFrame, tokens: DataFrame, line_symbols:
         names = names.join(done, ["keyword", "symbol"], "left")
         names = names.select("keyword", "symbol", F.lit(hop).alias("hop"), (F.col("chase") & ~F.coalesce("c", F.lit(False))).alias("chase"), (F.col("terminal") & ~F.coalesce("t", F.lit(False))).alias("terminal"))
         frontier = tables.put(names.where("chase or terminal"), f"frontier{hop}")
-        n = frontier.count()
+        n, n_plain = frontier.agg(F.count("*"), F.count_if(is_plain(F.col("symbol")))).first()
         total += n
         if total > limit:  # earlier hops come first, so names once within the limit stay there
             capped = tables.put(_over(_union(introduced), limit), f"capped{hop}")
@@ -70,7 +70,7 @@ def follow(seeds: DataFrame, lines: DataFrame, tokens: DataFrame, line_symbols:
         if not n:
             break
         scanned = scanned.unionByName(frontier)
-        where = occurrences(lines, tokens, frontier.select("symbol").distinct())
+        where = occurrences(lines, tokens, frontier.select("symbol").distinct(), n == n_plain)
         here = tables.put(where.join(frontier, "symbol").select("keyword", "symbol", "relpath", "lineno", "hop", "chase", "terminal"), f"found{hop}")
         found = here if found is None else found.unionByName(here)
         grown = here.where("chase and not terminal").join(bound.withColumnRenamed("symbol", "next"), ["relpath", "lineno"]).where("next <> symbol")

@@ -114,8 +114,8 @@ def write(rows: DataFrame, output: str | Path, keywords: dict[str, str], options
     def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         keyword, number = key
         name = part_name(keyword, number, -(-totals[keyword] // most))
-        lines = [header, *part.sort_values("n")["line"]]
-        return pd.DataFrame([(keyword, number, name, len(part), _replace(output / name, _encoded(lines, encoding)))], columns=["keyword", "part", "name", "n", "sha256"])
+        text = [header, *part.sort_values("n")["line"]]
+        return pd.DataFrame([(keyword, number, name, len(part), _replace(output / name, _encoded(text, encoding)))], columns=["keyword", "part", "name", "n", "sha256"])
 
     done = lines.withColumn("part", part_of(F.col("n"), most)).groupBy("keyword", "part").applyInPandas(one, WRITTEN).collect()  # a row a file
     out = []
