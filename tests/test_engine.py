@@ -167,9 +167,9 @@ def test_kept_texts_give_the_same_rows(spark, tree, monkeypatch):
 
 
 def test_keywords_stop_words_caps_and_getters(spark, tree):
-    (tree / "src/Conf.java").write_text("class Conf {\n  private int limit = LIMIT;\n  public int getLimit() {\n    return limit;\n  }\n}\n")
-    (tree / "src/Use.java").write_text("class Use {\n  int a = conf.getLimit();\n  int b = a + 1;\n}\n")
-    (tree / "in/LIMIT.grep").write_bytes(b"conf/set.sh:1:LIMIT=9\nConf.java:4:    return limit;\n")
+    (tree / "src/Conf.java").write_text("class Conf {\n  void run() {\n    svc.setLimit(LIMIT);\n  }\n}\n")
+    (tree / "src/Use.java").write_text("class Use {\n  int a = conf.setLimit(3);\n  int b = a + 1;\n}\n")
+    (tree / "in/LIMIT.grep").write_bytes(b"conf/set.sh:1:LIMIT=9\nConf.java:3:    svc.setLimit(LIMIT);\n")
     (tree / "in/NEXT.grep").write_bytes(b"use.sh:1:NEXT=$LIMIT\n")
     (tree / "stop").write_text("# names\n\nLAST\n")
 
@@ -181,9 +181,8 @@ def test_keywords_stop_words_caps_and_getters(spark, tree):
     rows, notes = run("plain")
     assert {s for s, *_ in rows["NEXT"]} == {"", "NEXT", "LAST"} and {s for s, *_ in rows["LIMIT"]} >= {"", "LIMIT", "NEXT", "LAST"}
     assert not [m for c, m in notes if c == "symbol_rejected" and "user_stoplist" in m]
-    if any(s == "getLimit" for s, *_ in rows["LIMIT"]):
-        assert ("getter_setter_no_expand", "getLimit") in notes
-        assert ("a", "3", "indirect:var") not in rows["LIMIT"]
+    assert ("getter_setter_no_expand", "setLimit") in notes and ("setLimit", "2", "indirect:setter") in rows["LIMIT"]
+    assert "a" not in {s for s, *_ in rows["LIMIT"]}
     stopped, notes = run("stopped", stoplist=tree / "stop")
     assert {s for s, *_ in stopped["NEXT"]} == {"", "NEXT"} and ("symbol_rejected", "user_stoplist\tLAST") in notes
     capped, _ = run("capped", max_symbols=1)
