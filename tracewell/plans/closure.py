@@ -37,19 +37,20 @@ def _node(symbol: Column, relpath: Column, lineno: Column) -> Column:
     return F.struct(symbol.alias("symbol"), relpath.alias("relpath"), lineno.cast("int").alias("lineno"))
 
 
-def follow(seeds: DataFrame, lines: DataFrame, tokens: DataFrame, line_symbols: DataFrame, max_depth: int = 10, max_symbols: int = 100_000, items: int | None = None) -> Closure:
+def follow(seeds: DataFrame, lines: DataFrame, tokens: DataFrame, line_symbols: DataFrame, max_depth: int = 10, max_symbols: int | None = 100_000, items: int | None = None) -> Closure:
     """Follow the names bound where the ``seeds`` are.
 
     ``seeds``: keyword, ord (their order), relpath, lineno. ``line_symbols``: relpath, lineno, symbol,
     kind (constant, var, getter or setter), ord; only names that may be followed. Getters and setters
     are looked up but lead no further. ``max_symbols`` names a keyword are followed at most, by hop,
-    length and name; with an item budget, fewer, so that twice their number stays within it.
+    length and name, all of them if it is None; with an item budget, fewer, so that twice their number
+    stays within it.
     """
     spark = seeds.sparkSession
     tables = Tables(spark, "closure")
     role = F.when(F.col("kind").isin("constant", "var"), "chase").otherwise("terminal")
     bound = line_symbols.select("relpath", "lineno", "symbol", "kind", "ord", role.alias("role"))
-    limit = max_symbols if items is None else min(max_symbols, items // 2)
+    limit = min((n for n in (max_symbols, None if items is None else items // 2) if n is not None), default=None)
 
     first = seeds.select("keyword", "relpath", "lineno", "ord").join(bound.withColumnRenamed("ord", "n"), ["relpath", "lineno"])
     first = first.select("keyword", "symbol", _node(F.col("keyword"), F.col("relpath"), F.col("lineno")).alias("parent"), _time(F.lit(0), F.lpad(F.col("ord").cast("string"), 12, "0"), F.lit(0), F.lit("")).alias("at"), "role", "kind", F.col("n").alias("ord"), F.lit(True).alias("seed"))
@@ -64,7 +65,7 @@ def follow(seeds: DataFrame, lines: DataFrame, tokens: DataFrame, line_symbols:
         frontier = tables.put(names.where("chase or terminal"), f"frontier{hop}")
         n, n_plain = frontier.agg(F.count("*"), F.count_if(is_plain(F.col("symbol")))).first()
         total += n
-        if total > limit:  # earlier hops come first, so names once within the limit stay there
+        if limit is not None and total > limit:  # earlier hops come first, so names once within the limit stay there
             capped = tables.put(_over(_union(introduced), limit), f"capped{hop}")
             frontier = tables.put(frontier.join(capped, ["keyword", "symbol"], "left_anti"), f"uncapped{hop}")
         if not n:
